@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from facetline.llm import bpe, packing
+from facetline.llm import bpe, lm, packing, quality, urls, vectors
 
 
 def queries() -> dict:
-    return {"op2_byte_bpe": bpe.op2_byte_bpe, "op9_best_two_fit": packing.op9_best_two_fit}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op2_byte_bpe": bpe.op2_byte_bpe,
+        "op3_redirect_filter": urls.op3_redirect_filter,
+        "op4_multi_index": vectors.op4_multi_index,
+        "op9_best_two_fit": packing.op9_best_two_fit,
+        "op10_context_tree": lm.op10_context_tree,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_redirect_filter": urls.SQL}
