@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetline.llm import bpe, lm, packing, quality, urls, vectors
+from facetline.llm import bpe, jaccard, lm, packing, quality, urls, vectors
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_redirect_filter": urls.op3_redirect_filter,
         "op4_multi_index": vectors.op4_multi_index,
+        "op6_multi_order_join": jaccard.op6_multi_order_join,
         "op9_best_two_fit": packing.op9_best_two_fit,
         "op10_context_tree": lm.op10_context_tree,
     }
