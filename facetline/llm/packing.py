@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1
             yield pa.RecordBatch.from_arrays([col[n] for n in keep], names=keep)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, " + "ids array<int>, " * keep_ids + "sequence_id bigint, offset bigint"
-    return made.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "nth", "before").mapInArrow(place, schema)
+    return made.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "nth", "before").mapInArrow(place, schema)
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
