@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from facetline.llm.common import BATCH_ROWS, binary, read
 from facetline.session import Scratch
 
-DEPTH = 4
+DEPTH = 5
 #: A byte that UTF-8 never holds: it stands before each text as context and after it as the end.
 EDGE = 0xFF
 #: Bytes of text that are looked up at once.
-PART_BYTES = 12_000_000
+PART_BYTES = 16_000_000
 END = b"\n"  # the end token; no word holds it
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[65:91] += 32
@@ -175,9 +175,9 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     the bytes of the text and its end, with all of the training counts; so it sums to one over texts. base_score: the
     unigram sum. Counts cover all rows; texts are cut nowhere. Empty tables give no rows.
 
-    Texts are dealt to parts of about 12 MB as they are read. Distinct words and byte strings of each part are counted
+    Texts are dealt to parts of about 16 MB as they are read. Distinct words and byte strings of each part are counted
     over parts by partial sums, joined with their counts and probabilities, and meet the part's texts again by its
-    number: no table that grows with the corpus is broadcast or collected. Trees are built in groups with the same two
+    number (a part that was read in two tasks brings a word twice, which changes nothing): no table that grows with the corpus is broadcast or collected. Trees are built in groups with the same two
     nearest context bytes, at most 256 ** (depth - 1) strings each; the driver sees sums for depth 1, at most 256 by 255.
     """
     spark = docs.sparkSession
@@ -264,8 +264,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     model = all_grams.groupBy("pair").applyInPandas(probabilities, "gram bigint, p double")
     model = scratch.cut(model)
-    known = found.where("word is not null").select("part", "word").distinct().join(words, "word").select("part", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("x"))
-    given = found.where("gram is not null").select("part", "gram").distinct().join(model, "gram").select("part", F.lit(None).cast("binary").alias("word"), "gram", F.col("p").alias("x"))
+    known = found.where("word is not null").select("part", "word").join(words, "word").select("part", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("x"))
+    given = found.where("gram is not null").select("part", "gram").join(model, "gram").select("part", F.lit(None).cast("binary").alias("word"), "gram", F.col("p").alias("x"))
     looked = known.unionByName(given)
     unit = math.log10(n_all + n_types + 1)
 
@@ -292,8 +292,9 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
             here = np.zeros(len(key), bool)
             for s, e in zip(starts, ends, strict=True):
                 here[s:e] = True
+            u, inv = np.unique(key[here], return_inverse=True)
             lp = np.zeros(len(key))
-            lp[here] = p[np.searchsorted(keys, key[here])]
+            lp[here] = p[np.searchsorted(keys, u)][inv]
             scores += [float(lp[s:e].sum()) for s, e in zip(starts, ends, strict=True)]
         n = np.array(list(map(len, raws)), np.int64)
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]

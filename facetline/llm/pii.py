@@ -203,7 +203,7 @@ def replace_private(docs: DataFrame, key: str = KEY, text: str = "text", found:
     hidden = hits.join(done, "rid").withColumn("pieces", pieces).withColumn(f"c{names.index(text)}", F.array_join(by_place, ""))
     hidden = hidden.withColumn("found", F.expr("transform(done, d -> named_struct('kind', d.kind, 'surrogate', d.surrogate))"))
     out = clean.unionByName(hidden.select(clean.columns))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != found], *[F.col("found").alias(found)] * bool(found))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != found], *([F.col("found").alias(found)] if found else []))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

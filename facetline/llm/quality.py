@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from facetline.llm.common import WordHashes, binary, by_batch, read, windows
 from facetline.session import Scratch
@@ -72,8 +73,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *names])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return by_batch(slim, fn, f"{head}, {STATS}")
+    return by_batch(slim, fn, StructType(slim.schema.fields[:-1] + StructType.fromDDL(STATS).fields))
 
 
 def votes() -> list:
@@ -107,39 +107,52 @@ def fit(patterns: np.ndarray, counts: np.ndarray, kinds: list[str], rounds: int
     return post
 
 
+VOTES = [f"vote_{name}" for name, _, _ in RULES]
+
+
+def with_votes(stats: DataFrame) -> DataFrame:
+    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed")
+    return stats.select("*", base, *[v.alias(n) for v, n in zip(votes(), VOTES, strict=True)])
+
+
+def posteriors(voted: DataFrame) -> DataFrame:
+    """(votes, posterior) for each pattern of votes that occurs: at most 3 to the number of rules rows."""
+    rows = voted.groupBy(*VOTES).count().collect()
+    patterns = np.array([[r[c] for c in VOTES] for r in rows], np.int64).reshape(-1, len(VOTES))
+    post = fit(patterns, np.array([r["count"] for r in rows], float), ["good" if bad == "false" else "bad" for _, bad, _ in RULES])
+    table = [(*map(int, p), float(x)) for p, x in zip(patterns, post, strict=True)]
+    return voted.sparkSession.createDataFrame(table, ", ".join(f"{c} int" for c in VOTES) + ", posterior double")
+
+
+def judged(voted: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    out = voted.join(F.broadcast(table), VOTES, "left")  # at most 3 ** len(RULES) rows
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
 def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns to keep, STATS, base_failed, each rule's vote, posterior and kept, one row per row of docs.
 
     base_failed: under 50 words, or over half of them in repeated three-word windows. kept: not base_failed and the
     posterior reaches the threshold. Nulls, empty texts: no words, so base_failed. Repeated rows are judged alike. The
-    driver sees counts of vote patterns only, at most 3 to the number of rules; so does the join that gives posteriors.
+    driver sees counts of vote patterns only; so does the join that gives posteriors.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    names = [r[0] for r in RULES]
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed")
+    scratch = Scratch(docs.sparkSession, "quality")
     inner = [f"__k{i}" for i in range(len(keep))]
-    renamed = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)], F.col(text).alias("__t"))
-    stats = scratch.cut(statistics(renamed, inner, "__t").select("*", base, *[v.alias(f"vote_{n}") for v, n in zip(votes(), names, strict=True)]))
-    v = [f"vote_{n}" for n in names]
-    rows = stats.groupBy(*v).count().collect()
-    patterns = np.array([[r[c] for c in v] for r in rows], np.int64).reshape(-1, len(v))
-    post = fit(patterns, np.array([r["count"] for r in rows], float), ["good" if bad == "false" else "bad" for _, bad, _ in RULES])
-    table = spark.createDataFrame([(*map(int, p), float(x)) for p, x in zip(patterns, post, strict=True)], ", ".join(f"{c} int" for c in v) + ", posterior double")
-    out = stats.join(F.broadcast(table), v, "left")  # at most 3 ** len(RULES) rows
+    slim = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], F.col(f"`{text}`").alias("__t"))
+    voted = scratch.cut(with_votes(statistics(slim, inner, "__t")))
+    out = judged(voted, posteriors(voted), threshold)
     stat = [x.split()[0] for x in STATS.split(", ")]
-    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *stat, "base_failed", *v, "posterior", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"))
-
-
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; texts are read twice rather than kept with the votes."""
-    key = [c for c in docs.columns if c == "doc_id"]
-    verdict = judge(docs.select(*key, F.xxhash64("text").alias("__h"), "text"), [*key, "__h"])
-    good = verdict.where("kept").select(*key, "__h").distinct()
-    on = F.xxhash64(docs["text"]).eqNullSafe(good["__h"])
-    for c in key:
-        on = on & docs[c].eqNullSafe(good[c])
-    return docs.join(good, on, "left_semi")
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *stat, "base_failed", *VOTES, "posterior", "kept")
+
+
+def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns. Two narrow passes: votes are counted, then rows judged."""
+    inner = [f"__k{i}" for i in range(len(docs.columns))]
+    flat = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner, strict=True)])
+    t = inner[docs.columns.index(text)]
+    table = posteriors(with_votes(statistics(flat, [], t)))
+    out = judged(with_votes(statistics(flat, inner, t)), table, threshold).where("kept")
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
