@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetline.functions import exprs as X
-from facetline.operators import aggregates, dml, joins, search, windows
+from facetline.kernels import redaction, tracker
+from facetline.operators import aggregates, dml, joins, search, video, windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -381,3 +382,44 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")
     norm = F.sqrt(F.aggregate(F.transform(v.cast("array<double>"), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
     return e.select("vec_id", F.round(norm, 6).alias("norm"), F.round(X.cosine_distance(v, X.negate_vector(X.normalize(v))), 6).alias("to_negative"))
+
+
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a video per user: a frame per event in order of time, its face the vector of the event's number."""
+    from pyspark.sql import Window
+
+    e = _t(spark, d, "embeddings")
+    n = e.count()
+    ev = _t(spark, d, "events").withColumn("vec_id", F.col("event_id") % n)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = ev.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").withColumn("frame_index", F.row_number().over(w).cast("long") - 1)
+    x, y = (F.col("event_id") % 1800).cast("int"), (F.col("event_id") % 1000).cast("int")
+    return rows.select(F.col("user_id").cast("string").alias("video_id"), "frame_index", F.lit(0).alias("face_idx"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 60).alias("y2"), "vec", F.col("value").alias("quality"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(-1).cast("long").alias("known"))
+
+
+_TRACKING = tracker.Options(threshold=0.8, grace=1.0, blip=0.0, fps=10.0)
+
+
+@query()
+def tracker_per_video(spark: SparkSession, d: str) -> DataFrame:
+    return video.track_videos(video.valid(_detections(spark, d)), _TRACKING, complete=True).select("video_id", "track_id", "start_time", "end_time", "count", "best_frame", "representative_frame")
+
+
+@query()
+def regroup_per_video(spark: SparkSession, d: str) -> DataFrame:
+    return video.regroup_videos(video.track_videos(video.valid(_detections(spark, d)), _TRACKING))
+
+
+@query()
+def redaction_boxes(spark: SparkSession, d: str) -> DataFrame:
+    targets = [(r.label, r.embedding) for r in _t(spark, d, "embeddings").where("vec_id < 3").orderBy("vec_id").collect()]
+    return video.redaction_plan(_detections(spark, d), targets, redaction.Options(threshold=0.5, linger=0.5, fps=10.0, paranoid=True))
+
+
+@query()
+def painted_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Small frames of one colour each, painted by a plan of all their boxes."""
+    dets = _detections(spark, d).withColumns({"width": F.lit(32), "height": F.lit(18), "x1": F.col("x1") % 20, "y1": F.col("y1") % 10}).withColumns({"x2": F.col("x1") + 8, "y2": F.col("y1") + 6})
+    plan = video.redaction_plan(dets, [], redaction.Options(mode="blur-all"))
+    frames = dets.select("video_id", "frame_index", "width", "height", F.expr("unhex(repeat(concat(lpad(hex(frame_index % 256), 2, '0'), '4080FF'), 32 * 18))").alias("data"))
+    return video.paint_frames(frames, plan, "black").select("video_id", "frame_index", F.sha2("data", 256).alias("painted"))
