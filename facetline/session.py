@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,7 +40,6 @@ class Scratch:
         if not base:
             base = os.environ["FACETLINE_LOCAL_SCRATCH"] = tempfile.mkdtemp(prefix="facetline-")
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
         self.n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -47,10 +47,14 @@ class Scratch:
         path = f"{self.base}/t{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._facetline_scratch = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are over: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_facetline_scratch", None)
         if path:
