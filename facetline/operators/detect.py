@@ -43,7 +43,7 @@ def detect(frames: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]],
                         faces.append((x1, y1, x2, y2))
                 rows += [(video, index, i, *f) for i, f in enumerate(faces)] or [(video, index, *[None] * (8 if full else 5))]
             names = [c.split()[0] for c in (FULL if full else BOXES).split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int32" for c in ("face_idx", "x1", "y1", "x2", "y2")})
+            out = pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("face_idx", "x1", "y1", "x2", "y2")})
+            yield out.astype({c: object for c in names[7:] if c != "quality"})
 
     return frames.select("video_id", "frame_index", "data").mapInPandas(run, FULL if full else BOXES)

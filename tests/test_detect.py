@@ -5,11 +5,10 @@ from facetline.operators import detect
 from facetline.plans import config
 
 
-def load():
-    return lambda data: [{"box": (0, 0, int(b), 4), "vec": [float(b), 0.0], "quality": 0.5, "thumb": b"t"} for b in data]
-
-
 def test_detect(spark):
+    def load():  # inside, as workers do not import test modules
+        return lambda data: [{"box": (0, 0, int(b), 4), "vec": [float(b), 0.0], "quality": 0.5, "thumb": b"t"} for b in data]
+
     frames = spark.createDataFrame([("v", 0, bytearray([3, 0, 5])), ("v", 1, bytearray())], "video_id string, frame_index long, data binary")
     got = sorted((r.frame_index, r.face_idx, r.x2, r.vec and np.round(r.vec, 3).tolist()) for r in detect.detect(frames, load, dim=2).where("face_idx is not null").collect())
     assert got == [(0, 0, 3, [1.0, 0.0]), (0, 1, 5, [1.0, 0.0])]
