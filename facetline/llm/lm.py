@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetline.llm.common import BATCH_ROWS, binary, read
@@ -19,7 +19,7 @@ DEPTH = 5
 #: A byte that UTF-8 never holds: it stands before each text as context and after it as the end.
 EDGE = 0xFF
 #: Bytes of text that are looked up at once.
-PART_BYTES = 16_000_000
+PART_BYTES = 24_000_000
 END = b"\n"  # the end token; no word holds it
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[65:91] += 32
@@ -53,6 +53,20 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
     return (key << 8) | data[depth : depth + n]
 
 
+def packed(t: pa.RecordBatch | pa.Table) -> bytes:
+    """Rows as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as out:
+        out.write(t)
+    raw = sink.getvalue()
+    return raw.size.to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.ipc.open_stream(pa.decompress(blob[8:], decompressed_size=size, codec="zstd")).read_all()
+
+
 class Strings:
     """Counts of integers, gathered array by array in bounded memory."""
 
@@ -175,7 +189,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     the bytes of the text and its end, with all of the training counts; so it sums to one over texts. base_score: the
     unigram sum. Counts cover all rows; texts are cut nowhere. Empty tables give no rows.
 
-    Texts are dealt to parts of about 16 MB as they are read. Distinct words and byte strings of each part are counted
+    Texts are dealt to parts of about 24 MB as they are read. Distinct words and byte strings of each part are counted
     over parts by partial sums, joined with their counts and probabilities, and meet the part's texts again by its
     number (a part that was read in two tasks brings a word twice, which changes nothing): no table that grows with the corpus is broadcast or collected. Trees are built in groups with the same two
     nearest context bytes, at most 256 ** (depth - 1) strings each; the driver sees sums for depth 1, at most 256 by 255.
@@ -190,15 +204,13 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part, room = TaskContext.get().partitionId(), 0, PART_BYTES
         for b in batches:
-            own = []
-            for n in map(len, binary(b.column(2))):
-                if room < n:
-                    part, room = part + 1, PART_BYTES
-                room -= n
-                own.append(at << 32 | part)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "part"])
+            size = b.nbytes
+            if room < size:
+                part, room = part + 1, PART_BYTES
+            room -= size
+            yield pa.RecordBatch.from_arrays([pa.array([at << 32 | part], pa.int64()), pa.array([packed(b)], pa.binary())], names=["part", "blob"])
 
-    texts = scratch.cut(slim.mapInArrow(deal, "doc_id bigint, held_out boolean, text string, part bigint"))
+    texts = scratch.cut(slim.mapInArrow(deal, "part bigint, blob binary"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -208,12 +220,12 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal words, strings, size
             train, other = words
-            w = [*train, *(x for x in other if x not in train)]
+            w = sorted(set(train) | set(other))
             n = np.array([train.get(x, 0) for x in w], np.int64)
             (u0, c0), (u1, _) = (x.counts() for x in strings)
-            u1 = np.setdiff1d(u1, u0)
-            g = np.concatenate([u0, u1])
-            gn = np.concatenate([c0, np.zeros(len(u1), np.int64)])
+            g = np.union1d(u0, u1)
+            gn = np.zeros(len(g), np.int64)
+            gn[np.searchsorted(g, u0)] = c0
             for i in range(0, len(w), 50_000):
                 x = w[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(x), pa.int64()), pa.array(x, pa.binary()), pa.nulls(len(x), pa.int64()), pa.array(n[i : i + 50_000])], names=["part", "word", "gram", "n"])
@@ -223,23 +235,28 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
             words, strings, size = [Counter(), Counter()], [Strings(), Strings()], 0
 
         for b in batches:
-            for p, h, raw in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), binary(b.column(2)), strict=True):
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if p != part or size > PART_BYTES:
                     if part is not None:
                         yield from flush()
                     part = p
-                words[h].update(_words(raw))
-                words[h][END] += 1
-                data, _ = padded([raw], depth)
-                strings[h].add(grams(data, depth))
-                size += len(raw)
+                docs = unpacked(blob)
+                for h, raw in zip(docs.column("held_out").to_pylist(), binary(docs.column("text")), strict=True):
+                    words[h].update(_words(raw))
+                    words[h][END] += 1
+                    data, _ = padded([raw], depth)
+                    strings[h].add(grams(data, depth))
+                    size += len(raw)
         if part is not None:
             yield from flush()
 
-    found = scratch.cut(texts.select("held_out", "part", "text").mapInArrow(gather, "part bigint, word binary, gram bigint, n bigint"))
-    words = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    words = scratch.cut(words)
-    total = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    found = scratch.cut(texts.mapInArrow(gather, "part bigint, word binary, gram bigint, n bigint"))
+    w = Window.partitionBy("word").orderBy("part")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the parts that hold a word are the rows of its window: one pass gives each of them the word's count
+    words = scratch.cut(found.where("word is not null").select("part", "word", F.sum("n").over(whole).alias("c"), F.row_number().over(w).alias("nth")))
+    scratch.release()
+    total = words.where("c > 0 and nth = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = total.n, total.v
     all_grams = scratch.cut(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("pair", F.shiftright("gram", 8 * (depth - 1))))
 
@@ -264,12 +281,37 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     model = all_grams.groupBy("pair").applyInPandas(probabilities, "gram bigint, p double")
     model = scratch.cut(model)
-    known = found.where("word is not null").select("part", "word").join(words, "word").select("part", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("x"))
+    known = words.select("part", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("x"))
     given = found.where("gram is not null").select("part", "gram").join(model, "gram").select("part", F.lit(None).cast("binary").alias("word"), "gram", F.col("p").alias("x"))
-    looked = known.unionByName(given)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).sort_by([("part", "ascending"), ("word", "ascending"), ("gram", "ascending")])
+            parts = t.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                one = t.slice(i, j - i).select(["word", "gram", "x"]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array([parts[i]], pa.int64()), pa.array([packed(one)], pa.binary())], names=["part", "blob"])
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n > 1_000_000:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    # packed by part before they are dealt to parts: sorted strings take a few bytes each
+    looked = scratch.cut(known.unionByName(given).mapInArrow(pack, "part bigint, blob binary"))
+    scratch.drop(found)
+    scratch.release()
     unit = math.log10(n_all + n_types + 1)
 
     def judge(t: pa.Table, k: pa.Table) -> pa.Table:
+        t, k = (pa.concat_tables([unpacked(x) for x in side.column("blob").to_pylist()]) for side in (t, k))
         is_word = k.column("word").is_valid()
         w, g = k.filter(is_word), k.filter(k.column("gram").is_valid())
         count = dict(zip(w.column("word").to_pylist(), w.column("x").to_pylist(), strict=True))
