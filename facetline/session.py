@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "facetline", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "facetline", master: str | None = None, partitions: int | None = None, more: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the engine is designed for; nothing here is needed on a cluster that sets its own."""
     b = SparkSession.builder.appName(app)
     if master:
@@ -24,6 +24,8 @@ def build_session(app: str = "facetline", master: str | None = None, partitions:
     )
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    for k, v in (more or {}).items():
+        b = b.config(k, v)
     return b.getOrCreate()
 
 
