@@ -20,6 +20,8 @@ DEPTH = 5
 EDGE = 0xFF
 #: Bytes of text that are looked up at once.
 PART_BYTES = 24_000_000
+#: Bytes whose strings are looked up in one go.
+AT_ONCE = 400_000
 END = b"\n"  # the end token; no word holds it
 _ASCII = np.arange(256, dtype=np.uint8)
 _ASCII[65:91] += 32
@@ -96,7 +98,7 @@ def padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The nodes of one group of grams that share their two nearest context bytes, at depths 2 to depth.
+    """The nodes of one group of grams, at depths 2 to depth; the group holds all grams of its two nearest context bytes.
 
     Each byte is eight binary decisions; decision node v (1, then two more for each bit) has its own context tree.
     Nodes are (context, v) with counts of zeros and ones. A context never seen in training gives its parent's estimate.
@@ -191,8 +193,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     Texts are dealt to parts of about 24 MB as they are read. Distinct words and byte strings of each part are counted
     over parts by partial sums, joined with their counts and probabilities, and meet the part's texts again by its
-    number (a part that was read in two tasks brings a word twice, which changes nothing): no table that grows with the corpus is broadcast or collected. Trees are built in groups with the same two
-    nearest context bytes, at most 256 ** (depth - 1) strings each; the driver sees sums for depth 1, at most 256 by 255.
+    number (a part that was read in two tasks brings a word twice, which changes nothing): no table that grows with the corpus is broadcast or collected. Trees are built in groups of eight
+    neighbours in the two nearest context bytes, at most 8 * 256 ** (depth - 1) strings each; the driver sees sums for depth 1, at most 256 by 255.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -258,7 +260,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     scratch.release()
     total = words.where("c > 0 and nth = 1").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = total.n, total.v
-    all_grams = scratch.cut(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("pair", F.shiftright("gram", 8 * (depth - 1))))
+    all_grams = scratch.cut(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("near", F.shiftright("gram", 8 * (depth - 1) + 3)))
 
     def sums(p: pd.DataFrame) -> pd.DataFrame:
         p = p[p["n"] > 0]
@@ -267,7 +269,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         lev = Tree(p["gram"].to_numpy(), p["n"].to_numpy(float), depth).levels[2]
         return pd.DataFrame({"c1": lev["id"] >> 16, "v": lev["id"] & 255, "a": lev["a"], "b": lev["b"], "pw": lev["pw"]})
 
-    top = all_grams.groupBy("pair").applyInPandas(sums, "c1 int, v int, a double, b double, pw double")
+    top = all_grams.groupBy("near").applyInPandas(sums, "c1 int, v int, a double, b double, pw double")
     root = roots(top.groupBy("c1", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toPandas())
 
     def probabilities(p: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +281,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         mixed, rest, last = (root[n][c1[:, None], v] for n in ("mixed", "rest", "last"))
         return pd.DataFrame({"gram": keys, "p": tree.log10(keys, *_entered(tree, keys, mixed, rest, last))})
 
-    model = all_grams.groupBy("pair").applyInPandas(probabilities, "gram bigint, p double")
+    model = all_grams.groupBy("near").applyInPandas(probabilities, "gram bigint, p double")
     model = scratch.cut(model)
     known = words.select("part", "word", F.lit(None).cast("bigint").alias("gram"), F.col("c").cast("double").alias("x"))
     given = found.where("gram is not null").select("part", "gram").join(model, "gram").select("part", F.lit(None).cast("binary").alias("word"), "gram", F.col("p").alias("x"))
@@ -306,7 +308,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     # packed by part before they are dealt to parts: sorted strings take a few bytes each
     looked = scratch.cut(known.unionByName(given).mapInArrow(pack, "part bigint, blob binary"))
-    scratch.drop(found)
+    for done in (found, words, all_grams, model):
+        scratch.drop(done)
     scratch.release()
     unit = math.log10(n_all + n_types + 1)
 
@@ -314,8 +317,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         t, k = (pa.concat_tables([unpacked(x) for x in side.column("blob").to_pylist()]) for side in (t, k))
         is_word = k.column("word").is_valid()
         w, g = k.filter(is_word), k.filter(k.column("gram").is_valid())
-        count = dict(zip(w.column("word").to_pylist(), w.column("x").to_pylist(), strict=True))
-        logs = {x: math.log10(c + 1) for x, c in count.items()}
+        # 0 for words that training lacks
+        logs = dict(zip(w.column("word").to_pylist(), np.log10(w.column("x").to_numpy() + 1).tolist(), strict=True))
         keys, p = g.column("gram").to_numpy(), g.column("x").to_numpy()
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
@@ -323,11 +326,15 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         rows = []
         for raw in raws:
             own = [*_words(raw), END]
-            base = math.fsum(map(logs.__getitem__, own)) - len(own) * unit
-            rows.append((len(own), sum(map(bool, map(count.__getitem__, own))), base))
-        scores = []
-        for i in range(0, len(raws), 64):
-            data, ends = padded(raws[i : i + 64], depth)
+            own_logs = [logs[x] for x in own]
+            rows.append((len(own), sum(map(bool, own_logs)), math.fsum(own_logs) - len(own) * unit))
+        scores: list[float] = []
+        while len(scores) < len(raws):
+            i, j, size = len(scores), len(scores), 0
+            while j < len(raws) and (j == i or size + len(raws[j]) <= AT_ONCE):
+                size += len(raws[j])
+                j += 1
+            data, ends = padded(raws[i:j], depth)
             key = grams(data, depth)
             ends = ends - depth
             starts = np.concatenate([[0], ends[:-1] + depth])
