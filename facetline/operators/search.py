@@ -30,14 +30,19 @@ def _matrix(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return m, ok
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+def _distances(a: pd.DataFrame, b: pd.DataFrame, others: bool) -> np.ndarray:
+    """Infinite where an id would meet itself and only others are wanted."""
     (x, okx), (y, oky) = _matrix(a["vec"]), _matrix(b["vec"])
-    if x.shape[1] != y.shape[1]:
-        return np.ones((len(a), len(b)))
-    d = 1 - x @ y.T
-    d[~okx] = 1
-    d[:, ~oky] = 1
-    return np.round(d, DECIMALS) + 0.0
+    if x.shape[1] == y.shape[1]:
+        d = 1 - x @ y.T
+        d[~okx] = 1
+        d[:, ~oky] = 1
+        d = np.round(d, DECIMALS) + 0.0
+    else:
+        d = np.ones((len(a), len(b)))
+    if others:
+        d[a["query_id"].to_numpy()[:, None] == b["variant_id"].to_numpy()[None]] = np.inf
+    return d
 
 
 def _block_pairs(queries: DataFrame, variants: DataFrame, block: int):
@@ -50,22 +55,22 @@ def _block_pairs(queries: DataFrame, variants: DataFrame, block: int):
     return q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb"))
 
 
-def nearest(queries: DataFrame, variants: DataFrame, k: int, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, variants: DataFrame, k: int, threshold: float | None = None, block: int = BLOCK, others: bool = False) -> DataFrame:
     """(query_id, variant_id, distance, rank) of the k nearest variants, by cosine distance and then id.
 
     queries: (query_id, vec), variants: (variant_id, vec). With a threshold, only distances strictly below it. Vectors
-    without a direction, and of different lengths, have distance 1. Each pair of blocks gives the k best of each query,
-    so a query's rows are k times the blocks.
+    without a direction, and of different lengths, have distance 1. With others, a query does not find the variant of its
+    own id. Each pair of blocks gives the k best of each query, so a query's rows are k times the blocks.
     """
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "variant_id": [], "distance": []})
         b = b.sort_values("variant_id", kind="stable")
-        d = _distances(a, b)
+        d = _distances(a, b, others)
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), best.shape[1]), "variant_id": b["variant_id"].to_numpy()[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-        return out if threshold is None else out[out["distance"] < threshold]
+        return out[out["distance"] < (np.inf if threshold is None else threshold)]
 
     pairs = _block_pairs(queries.select("query_id", "vec"), variants.select("variant_id", "vec"), block)
     found = pairs.applyInPandas(pair, "query_id long, variant_id long, distance double")
@@ -73,7 +78,7 @@ def nearest(queries: DataFrame, variants: DataFrame, k: int, threshold: float |
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_clusters(queries: DataFrame, members: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
+def nearest_clusters(queries: DataFrame, members: DataFrame, k: int = 2, block: int = BLOCK, others: bool = False) -> DataFrame:
     """(query_id, cluster, score, rank) of the k clusters whose nearest member is nearest, by score and then cluster.
 
     members: (variant_id, cluster, vec). A cluster that is among the k best is so in the block of its nearest member, so
@@ -85,9 +90,10 @@ def nearest_clusters(queries: DataFrame, members: DataFrame, k: int = 2, block:
             return pd.DataFrame({"query_id": [], "cluster": [], "score": []})
         ids, inv = np.unique(b["cluster"].to_numpy(), return_inverse=True)
         least = np.full((len(a), len(ids)), np.inf)
-        np.minimum.at(least.T, inv, _distances(a, b).T)
+        np.minimum.at(least.T, inv, _distances(a, b, others).T)
         best = np.argsort(least, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), best.shape[1]), "cluster": ids[best.ravel()], "score": np.take_along_axis(least, best, 1).ravel()})
+        out = pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), best.shape[1]), "cluster": ids[best.ravel()], "score": np.take_along_axis(least, best, 1).ravel()})
+        return out[out["score"] < np.inf]
 
     pairs = _block_pairs(queries.select("query_id", "vec"), members.select("variant_id", "cluster", "vec"), block)
     found = pairs.applyInPandas(pair, "query_id long, cluster long, score double").groupBy("query_id", "cluster").agg(F.min("score").alias("score"))
@@ -103,15 +109,15 @@ def named(matches: DataFrame, variants: DataFrame, identities: DataFrame) -> Dat
     return out.withColumn("identity", X.display_identity(F.col("iname"), F.col("identity_id"))).withColumn("variant", X.display_variant(F.col("vname"))).drop("iname", "vname")
 
 
-def closest(queries: DataFrame, variants: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def closest(queries: DataFrame, variants: DataFrame, threshold: float = MATCH_THRESHOLD, others: bool = False) -> DataFrame:
     """(query_id, variant_id, distance): the nearest variant below the threshold, or -1."""
-    found = nearest(queries, variants, 1, threshold).drop("rank")
+    found = nearest(queries, variants, 1, threshold, others=others).drop("rank")
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("variant_id", F.lit(-1)).alias("variant_id"), "distance")
 
 
-def staged_actions(queries: DataFrame, variants: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def staged_actions(queries: DataFrame, variants: DataFrame, threshold: float = MATCH_THRESHOLD, others: bool = False) -> DataFrame:
     """(query_id, nearest_id, d1, d2, confidence, action) from the two nearest variants."""
-    two = nearest(queries, variants, 2)
+    two = nearest(queries, variants, 2, others=others)
     both = two.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("variant_id"))).alias("nearest_id"),
         F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("d1"),

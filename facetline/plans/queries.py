@@ -62,23 +62,23 @@ def knn_top2(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "variant_id", "rank", F.round("distance", 6).alias("distance"), "identity", "variant")
 
 
-@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id % 20 != 0)") + "SELECT q.query_id, coalesce(variant_id, -1) AS variant_id, round(distance, 6) AS distance FROM q LEFT JOIN (SELECT * FROM best WHERE rank = 1 AND distance < 0.5) b ON b.query_id = q.query_id")
+@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id != q.query_id)") + "SELECT q.query_id, coalesce(variant_id, -1) AS variant_id, round(distance, 6) AS distance FROM q LEFT JOIN (SELECT * FROM best WHERE rank = 1 AND distance < 0.5) b ON b.query_id = q.query_id")
 def knn_closest_threshold(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
-    return search.closest(q, v.where("variant_id % 20 != 0"), 0.5).select("query_id", "variant_id", F.round("distance", 6).alias("distance"))
+    return search.closest(q, v, 0.5, others=True).select("query_id", "variant_id", F.round("distance", 6).alias("distance"))
 
 
-@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id % 20 != 0)") + """,
+@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id != q.query_id)") + """,
 two AS (SELECT query_id, max(CASE WHEN rank = 1 THEN variant_id END) AS nearest_id, max(CASE WHEN rank = 1 THEN distance END) AS d1, max(CASE WHEN rank = 2 THEN distance END) AS d2 FROM best WHERE rank <= 2 GROUP BY query_id)
 SELECT query_id, nearest_id, round(d1 * 1000) / 1000 AS d1, round(d2 * 1000) / 1000 AS d2, round(100 * (1 - d1 / 2)) / 100 AS confidence,
   CASE WHEN d1 > 0.6 THEN 'new_identity' WHEN abs(d2 - d1) < 0.05 THEN '' WHEN d1 > 0.35 THEN 'new_variant' ELSE 'merge' END AS action
 FROM two""")
 def staged_action(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
-    return search.staged_actions(q, v.where("variant_id % 20 != 0"))
+    return search.staged_actions(q, v, others=True)
 
 
-@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id % 20 != 0)") + """,
+@query(_KNN.replace("FROM q, embeddings e)", "FROM q, embeddings e WHERE e.vec_id != q.query_id)") + """,
 per AS (SELECT query_id, label, min(distance) AS score FROM best GROUP BY query_id, label),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, label) AS r FROM per),
 two AS (SELECT query_id, max(CASE WHEN r = 1 THEN label END) AS cluster, max(CASE WHEN r = 1 THEN score END) AS s1, max(CASE WHEN r = 2 THEN score END) AS s2 FROM ranked WHERE r <= 2 GROUP BY query_id)
@@ -88,8 +88,8 @@ FROM two""")
 def link_class(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
     labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("variant_id"), F.col("label").alias("cluster"))
-    v = v.where("variant_id % 20 != 0").join(labels, "variant_id")
-    two = search.nearest_clusters(q, v)
+    v = v.join(labels, "variant_id")
+    two = search.nearest_clusters(q, v, others=True)
     best = two.groupBy("query_id").agg(*[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("cluster", "score")])
     return best.select("query_id", F.col("cluster1").alias("cluster"), X.round_to(F.col("score1"), 3).alias("s1"), X.link_class(F.col("score1"), F.col("score2")).alias("link"))
 
