@@ -21,6 +21,9 @@ BLOCKS = 16
 #: Seeds of the further token orders.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
+#: Texts and their sets that a verifying task keeps at hand, as pairs share texts.
+KEPT_BYTES = 40_000_000
+
 _words = WordHashes()
 
 
@@ -109,14 +112,20 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[bytes, np.ndarray] = {}
-
-            def of(raw: bytes, seen: dict = seen) -> np.ndarray:
-                if raw not in seen:
-                    seen[raw] = shingles(raw, k)
-                return seen[raw]
+        seen: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def of(raw: bytes) -> np.ndarray:
+            nonlocal size
+            if raw not in seen:
+                if size > KEPT_BYTES:
+                    seen.clear()
+                    size = 0
+                seen[raw] = shingles(raw, k)
+                size += len(raw) + seen[raw].nbytes
+            return seen[raw]
 
+        for b in batches:
             ok = pa.array([similar(of(x), of(y), num, den) for x, y in zip(binary(b.column(2)), binary(b.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
@@ -149,7 +158,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     w = Window.partitionBy("token")
     shared = tokens.withColumn("first", F.min("node").over(w)).withColumn("last", F.max("node").over(w)).where("first != last")
     shared = scratch.cut(shared.select("token", "node", "n", "pos", "first"))
-    fit = f"{num} * (n1 + n2) <= {num + den} * (1 + least(n1 - pos1, n2 - pos2) - 1) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
+    scratch.release()
+    fit = f"{num} * (n1 + n2) <= {num + den} * least(n1 - pos1, n2 - pos2) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
 
     # one partner each
     partner = shared.where("node != first").groupBy("node", "first").count()
@@ -179,14 +189,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
 def _texts(slim: DataFrame, rows: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """(node, text) of the nodes needed: found by id, and told apart by their sets where an id is repeated."""
     want = rows.join(need.withColumnRenamed("node", "rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("id"), "h1", "h2")
-    found = slim.join(want, F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "text", "h1", "h2")
+    often = rows.groupBy(F.col("doc_id").alias("oid")).agg((F.count("*") > 1).alias("often"))
+    want = want.join(often, F.col("id").eqNullSafe(F.col("oid"))).drop("oid")
+    found = slim.join(want, F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "text", "h1", "h2", "often")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             ok = []
-            for raw, h1, h2 in zip(binary(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for raw, h1, h2, often in zip(binary(b.column(1)), *[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                if not often:
+                    ok.append(True)
+                    continue
                 d = np.frombuffer(xxhash.xxh3_128_digest(shingles(raw, k).tobytes()), "<i8")
                 ok.append((int(d[0]), int(d[1])) == (h1, h2))
             ok = pa.array(ok, pa.bool_())
