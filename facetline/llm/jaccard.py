@@ -177,9 +177,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     tried = partner.select("a", "b").unionByName(partner.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
     more = scratch.cut(verified(pairs, texts, k, num, den))
-    comp = connected_components(scratch, good.unionByName(more))
+    # the second pairs connect components of the first
+    ends = [comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+    bridges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(scratch, bridges).select(F.col("node").alias("c"), F.col("component").alias("over"))
 
-    named = nodes.join(comp, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component"))
+    named = nodes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).join(over, "c", "left")
+    named = named.select("h1", "h2", "least", F.coalesce("over", "c").alias("component"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.cut(named.join(best, "component").select("h1", "h2", "component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
