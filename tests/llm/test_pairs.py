@@ -111,6 +111,23 @@ def test_dropped_passages(spark):
     assert passages.without("a b\tc  d e", [(1, 3)]) == "a d e" and passages.without("a b c", [(0, 2), (1, 3)]) == ""
 
 
+@pytest.mark.parametrize("n, every", [(55, 10), (55, 8), (60, 8), (80, 7)])
+def test_edited_passages_are_found(spark, n, every):
+    rows = []
+    for g in range(12):
+        p = prose(3000 + g, n)
+        rows += [(10 * g, prose(3100 + g, 40) + " " + p + " " + prose(3200 + g, 30)), (10 * g + 1, prose(3300 + g, 25) + " " + edited(p, g, every) + " " + prose(3400 + g, 60))]
+    got = {(r.other_id, r.doc_id) for r in passages.find(table(spark, rows)).collect()}
+    assert got == {(10 * g, 10 * g + 1) for g in range(12)}
+
+
+def test_ends_grow_through_changes():
+    a = [b"%d" % i for i in range(60)]
+    b = [b"y%d" % i for i in range(9)] + [b"x" if i in (6, 13, 45, 52) else w for i, w in enumerate(a) if i != 20] + [b"z%d" % i for i in range(9)]
+    assert passages.align(a, b, [(25, 33, 15)]) == (0, 60, 9, 68, 55)
+    assert passages.align(a[:30], [b"q"] * 5 + a[10:20] + [b"r"] * 5, [(10, 5, 10)]) == (10, 20, 5, 15, 10)
+
+
 def test_chains_maximise():
     blocks = np.array([[0, 0, 20], [25, 25, 20], [30, 500, 9], [60, 58, 20], [10, 900, 6]])
     assert passages.chains(blocks)[0] == [0, 1, 3]
