@@ -121,6 +121,27 @@ def test_edited_passages_are_found(spark, n, every):
     assert got == {(10 * g, 10 * g + 1) for g in range(12)}
 
 
+@pytest.mark.parametrize("common", [25, 30, 45])
+def test_passages_with_a_part_that_others_hold(spark, common):
+    p = prose(4000, 60)
+    part = " ".join(p.split(" ")[:common])
+    rows = [(i, prose(4100 + i, 70) + " " + (p if i in (5, 7) else part) + " " + prose(4200 + i, 40)) for i in (1, 2, 5, 7, 8, 9)]
+    got = passages.find(table(spark, rows)).collect()
+    assert [(r.other_id, r.doc_id, r.other_start, r.other_end, r.start, r.end) for r in got] == [(5, 7, 70, 130, 70, 130)]
+
+
+def test_rare_seeds_reach_every_stretch():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        pos = np.unique(rng.integers(0, 120, 60))
+        n = rng.integers(2, 9, len(pos))
+        ok = passages.rare(pos, n, 46)
+        for i in range(len(pos)):
+            own = np.flatnonzero((pos >= pos[i]) & (pos < pos[i] + 46))
+            if len(own) >= passages.SHARED:
+                assert ok[rng.choice(own, passages.SHARED, replace=False)].any()
+
+
 def test_ends_grow_through_changes():
     a = [b"%d" % i for i in range(60)]
     b = [b"y%d" % i for i in range(9)] + [b"x" if i in (6, 13, 45, 52) else w for i, w in enumerate(a) if i != 20] + [b"z%d" % i for i in range(9)]
