@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,8 @@ DIFFERENCE = 0.1
 TELLING = re.compile(r"^(?:v?[0-9.]+|not|no|non.*|nd|nc|sa|by|by-.*|lesser|affero|general|mit|isc|bsd|apache|mozilla|gnu|cc|cc0|2-clause|3-clause|clause|all|reserved)$", re.I)
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(first line, text) of the runs of lines that speak of licenses."""
+def blocks(text: str) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of the runs of lines that speak of licenses."""
     if not HINT.search(text):
         return []
     lines = text.split("\n")
@@ -60,7 +61,25 @@ def blocks(text: str) -> list[tuple[int, str]]:
             runs[-1][1] = i
         else:
             runs.append([i, i])
-    return [(a, "\n".join(lines[a : b + 1])) for a, b in runs]
+    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in runs]
+
+
+def around(lines: list[str], a: int, b: int, most: int) -> tuple[int, int, str]:
+    """(first line, last line, text) of lines a to b with as many words as a notice may have on each side of them."""
+    before, after, left = [], [], most
+    lo, hi = a, b
+    while lo > 0 and left > 0:
+        lo -= 1
+        at = [m.start() for m in WORD.finditer(lines[lo])]
+        before.append(lines[lo][at[-left] :] if len(at) > left else lines[lo])
+        left -= len(at)
+    left = most
+    while hi + 1 < len(lines) and left > 0:
+        hi += 1
+        at = [m.end() for m in WORD.finditer(lines[hi])]
+        after.append(lines[hi][: at[left - 1]] if len(at) > left else lines[hi])
+        left -= len(at)
+    return lo, hi, "\n".join([*before[::-1], *lines[a : b + 1], *after])
 
 
 def words(text: str) -> list[str]:
@@ -84,17 +103,40 @@ class Scanner:
         self.plain = z.ZstdCompressor(level=19, write_content_size=False)
         self.with_dict = [z.ZstdCompressor(level=19, write_content_size=False, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
         self.words = [words(t) for _, t in TEMPLATES]
+        self.bags = [Counter(w) for w in self.words]
+        self.most = int((1 + DIFFERENCE) * max(map(len, self.words))) + 1
         self.seen: dict[str, list[tuple]] = {}
 
+    def text(self, text: str) -> list[tuple[int, str, float, list[str], list[str]]]:
+        """(line, license, saving, missing, added) of each block as it is; then, with the words around it, of licenses
+        that no block there has granted: notices are wrapped, and not each of their lines speaks of licenses."""
+        runs = blocks(text)
+        lines = text.split("\n") if runs else []
+        out, granted = [], []
+        for a, b, x in runs:
+            for r in self.block(x):
+                out.append((a, *r))
+                granted.append((a, b, r[0]))
+        for a, b, x in runs:
+            lo, hi, wide = around(lines, a, b, self.most)
+            for r in self.block(wide) if wide != x else []:
+                if not any(r[0] == name and lo <= d and c <= hi for c, d, name in granted):
+                    out.append((a, *r))
+                    granted.append((lo, hi, r[0]))
+        return sorted(out, key=lambda r: r[0])
+
     def block(self, text: str) -> list[tuple[str, float, list[str], list[str]]]:
         """(license, share of the compressed size that the template saves, words gone, words put in) of what a block
         grants: templates by falling saving, confirmed by wording; at most one of each license."""
         if text in self.seen:
             return self.seen[text]
         raw = text.encode()
-        base = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / base, i) for i, c in enumerate(self.with_dict)), key=lambda x: (-x[0], x[1]))
         own, out, taken = words(text), [], set()
+        bag = Counter(own)
+        # others lack too many words to be confirmed
+        near = [i for i, w in enumerate(self.words) if sum((self.bags[i] - bag).values()) <= DIFFERENCE * len(w)]
+        base = len(self.plain.compress(raw)) if near else 0
+        ranked = sorted(((1 - len(self.with_dict[i].compress(raw)) / base, i) for i in near), key=lambda x: (-x[0], x[1]))
         for saved, i in ranked:
             if saved <= 0:
                 break
@@ -123,13 +165,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     compressed block; missing and added are the words by which the text differs from the template.
 
     Null and empty texts, and texts without a word about licenses, give no rows; repeated rows give their rows again.
-    Whole texts are read; a block ends where more than two lines say nothing of licenses. One narrow pass.
+    Whole texts are read; a block ends where more than two lines say nothing of licenses, and is also read with the words
+    around it, as many as the longest template has, for licenses that it does not grant alone. One narrow pass.
     """
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         if not _scanner:
             _scanner.append(Scanner())
-        rows = [(doc, line, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for line, x in blocks(t) for r in _scanner[0].block(x)]
+        rows = [(doc, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for r in _scanner[0].text(t)]
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "line", "license", "saving", "missing", "added"])
