@@ -149,6 +149,18 @@ def test_ends_grow_through_changes():
     assert passages.align(a[:30], [b"q"] * 5 + a[10:20] + [b"r"] * 5, [(10, 5, 10)]) == (10, 20, 5, 15, 10)
 
 
+def test_passages_are_dropped_by_row(spark):
+    p, q = prose(5000, 60), prose(5001, 70)
+    held, clean = prose(5002, 30) + " " + p, prose(5003, 140)
+    rows = [(1, p + " " + prose(5004, 20)), (None, held), (None, clean), (7, prose(5005, 90)), (7, p), (None, q + " end"), (None, "Start " + q)]
+    got = sorted(((r.doc_id, r.text) for r in passages.drop_passages(table(spark, rows)).collect()), key=str)
+    want = [rows[0], (None, prose(5002, 30)), rows[2], rows[3], (7, "")]
+    for ends in ([rows[5], (None, "Start")], [(None, "end"), rows[6]]):
+        if got == sorted(want + ends, key=str):
+            return
+    raise AssertionError([(i, t[:40], len(words(t))) for i, t in got])
+
+
 def test_chains_maximise():
     blocks = np.array([[0, 0, 20], [25, 25, 20], [30, 500, 9], [60, 58, 20], [10, 900, 6]])
     assert passages.chains(blocks)[0] == [0, 1, 3]
