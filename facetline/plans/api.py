@@ -77,8 +77,9 @@ def list_variants(store: Store, identity: int) -> DataFrame:
     return out.select("id", X.display_variant(F.col("name")).alias("name"), "face_count", "created_at").orderBy("id")
 
 
-def list_commits(store: Store, limit: int = 20) -> DataFrame:
-    return aggregates.commit_summary(store.table("commits"), store.table("ledger_entries")).orderBy(F.desc("created_at"), "id").limit(limit)
+def list_commits(store: Store, limit: int = 0) -> DataFrame:
+    out = aggregates.commit_summary(store.table("commits"), store.table("ledger_entries")).orderBy(F.desc("created_at"), "id")
+    return out.limit(limit) if limit else out
 
 
 def ledger(store: Store, commit_id: str) -> DataFrame:

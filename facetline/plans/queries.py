@@ -106,10 +106,22 @@ def identity_summary(spark: SparkSession, d: str) -> DataFrame:
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT id, status, strftime(created_at, '%Y-%m-%d') AS created_on, face_count, track_count FROM s ORDER BY created_at DESC, id LIMIT 100""")
 def commit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _commits(spark, d).limit(100).drop("created_at")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS face_count, count(l_linenumber) AS track_count
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT id, status, strftime(created_at, '%Y-%m-%d') AS created_on, face_count, track_count FROM s ORDER BY created_at DESC, id""")
+def commit_list(spark: SparkSession, d: str) -> DataFrame:
+    """All commits; commit_summary is its first page."""
+    return _commits(spark, d).drop("created_at")
+
+
+def _commits(spark: SparkSession, d: str) -> DataFrame:
     commits = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
     ledger = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("long").alias("added_count"))
-    out = aggregates.commit_summary(commits, ledger).orderBy(F.desc("created_at"), "id").limit(100)
-    return out.select("id", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), "face_count", "track_count")
+    out = aggregates.commit_summary(commits, ledger).orderBy(F.desc("created_at"), "id")
+    return out.select("id", "status", "created_at", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), "face_count", "track_count")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name ILIKE '%SUPPLIER%1%' ORDER BY s_suppkey LIMIT 20 OFFSET 5")

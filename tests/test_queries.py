@@ -38,3 +38,19 @@ import __spark_entry__ as e
 assert e.llm is None and "knn_top2" in e.queries() and not any(n.startswith("op") for n in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_commits_are_listed_whole(spark):
+    out = registry.queries()["commit_list"](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/orders.parquet").count() > 100
+
+
+def test_list_commits_has_no_limit_by_default(spark, monkeypatch):
+    from facetline.plans import api
+
+    class Few:
+        def table(self, name):
+            return spark.range(50).withColumnRenamed("id", "created_at")
+
+    monkeypatch.setattr(api.aggregates, "commit_summary", lambda commits, ledger: commits.withColumn("id", commits.created_at))
+    assert [api.list_commits(Few(), *n).count() for n in ((), (0,), (7,))] == [50, 50, 7]
