@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix filters under several token orders, then exact verification."""
+"""N-gram Jaccard join: prefix filters under three token orders, intersected before texts are compared exactly."""
 
 from __future__ import annotations
 
@@ -8,28 +8,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm.common import BATCH_ROWS, WordHashes, binary, connected_components, mix, read, shingle_set
+from facetline.llm.common import bounded, by_key, connected_components, hash_words, packed, read, shingle_sets, unpacked
 from facetline.session import Scratch
 
 #: Buckets of the frequency table that the first token order goes by: 4 MB whatever the input's size.
 BUCKET_BITS = 20
 BLOCKS = 16
-#: Seeds of the further token orders.
+#: Odd numbers; the further token orders go by the products with them.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Prefix tokens that are sorted together before they are dealt, and that a range of tokens has on average.
+GROUP, RANGE = 1_000_000, 500_000
+#: Sets that a task remembers to deal copies' tokens once.
+COPIES = 500_000
 
-#: Texts and their sets that a verifying task keeps at hand, as pairs share texts.
-KEPT_BYTES = 40_000_000
 
-_words = WordHashes()
-
-
-def shingles(raw: bytes, k: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct k-word shingles, A-Z in lower case."""
-    return shingle_set(_words(raw.lower().split()), k)
+def shingles(col: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct k-word shingles, A-Z in lower case."""
+    return shingle_sets(*hash_words(col), k)
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -41,14 +39,14 @@ def _buckets(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def frequencies(texts: DataFrame, k: int) -> np.ndarray:
+def frequencies(texts: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """How often each bucket of shingles occurs in all of the texts, as a rank of 16 bits: a global order that puts rare
-    tokens first. Tasks send blocks of counts, which are added up block by block."""
+    tokens first; and the number of shingles. Tasks send blocks of counts, which are added up block by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            own = [shingles(raw, k) for raw in binary(b.column(0))]
+            own = shingles(b.column(0), k)
             if own:
                 n += np.bincount(_buckets(np.concatenate(own)), minlength=len(n))
         blocks = n.reshape(BLOCKS, -1)
@@ -58,78 +56,173 @@ def frequencies(texts: DataFrame, k: int) -> np.ndarray:
     def add(p: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in p["n"])
         rank = np.minimum(np.log2(total + 1.0) * 64, 65535).astype(np.uint16)
-        return pd.DataFrame({"block": [p["block"].iloc[0]], "rank": [rank.tobytes()]})
+        return pd.DataFrame({"block": [p["block"].iloc[0]], "rank": [rank.tobytes()], "n": [int(total.sum())]})
 
     out = np.zeros((BLOCKS, (1 << BUCKET_BITS) // BLOCKS), np.uint16)
-    for r in texts.mapInArrow(count, "block int, n binary").groupBy("block").applyInPandas(add, "block int, rank binary").collect():
+    rows = texts.mapInArrow(count, "block int, n binary").groupBy("block").applyInPandas(add, "block int, rank binary, n bigint").collect()
+    for r in rows:
         out[r.block] = np.frombuffer(r["rank"], np.uint16)
-    return out.reshape(-1)
+    return out.reshape(-1), sum(r.n for r in rows)
+
+
+def further(s: np.ndarray, p: int) -> np.ndarray:
+    """A set's first p tokens in each further order, in 32 bits each: sets that differ in all of these share none."""
+    out = []
+    for factor in ORDERS:
+        q = s * np.uint64(factor)
+        out.append(((np.partition(q, p - 1)[:p] if p < len(q) else q) >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(out)
 
 
-def signatures(slim: DataFrame, k: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
-    """rid (unique), doc_id, h1, h2 (of the whole set), n, prefix (tokens in the order of rarity) for each row."""
-    spread = slim.sparkSession.sparkContext.broadcast(rank)
+def meet(a: bytes, b: bytes) -> bool:
+    """Whether two sets share a prefix token in every further order, from what further() gave."""
+    x, y = (np.frombuffer(v, "<u4").reshape(len(ORDERS), -1) for v in (a, b))
+    return all(np.isin(p, q).any() for p, q in zip(x, y, strict=True))
+
+
+def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, bits: int) -> DataFrame:
+    """Of (rid, doc_id, text): rows (rid, doc_id, h1, h2 (of the whole set), n, more (see further())) and, among them, rows
+    (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges of tokens. Sets that a task has met
+    before have neither tokens nor more. Of the texts of one group that share a token only one goes to the token's range,
+    so a hot token is as many entries there as groups; all of them go along told, with any range."""
+    spread = texts.sparkSession.sparkContext.broadcast(rank)
+    names = ["rid", "doc_id", "h1", "h2", "n", "more", "bucket", "blob"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        rid, order = TaskContext.get().partitionId() << 36, spread.value
-        for b in batches:
-            n, h1, h2, prefixes = [], [], [], []
-            for raw in binary(b.column(1)):
-                s = shingles(raw, k)
-                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                n.append(len(s))
-                h1.append(int(d[0]))
-                h2.append(int(d[1]))
-                first = np.argsort(order[_buckets(s)], kind="stable")[: prefix_size(len(s), num, den)] if len(s) else []
-                prefixes.append(s[first].view(np.int64) if len(s) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            rids = pa.array(np.arange(rid, rid + len(n)))
-            rid += len(n)
-            yield pa.RecordBatch.from_arrays([rids, b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rid", "doc_id", "h1", "h2", "n", "prefix"])
-
-    return slim.mapInArrow(sign, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, prefix array<bigint>")
-
-
-def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sets are similar enough: they must share a prefix token under every further order; then exactly."""
-    a, b = prefix_size(len(x), num, den), prefix_size(len(y), num, den)
-    for seed in ORDERS:
-        p, q = mix(x ^ np.uint64(seed)), mix(y ^ np.uint64(seed))
-        p = np.partition(p, a - 1)[:a] if a < len(p) else p
-        q = np.partition(q, b - 1)[:b] if b < len(q) else q
-        if not len(np.intersect1d(p, q, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return den * both >= num * (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. texts: (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, np.ndarray] = {}
+        order, met = spread.value, set()
+        held: list[tuple[int, int, np.ndarray]] = []
         size = 0
 
-        def of(raw: bytes) -> np.ndarray:
-            nonlocal size
-            if raw not in seen:
-                if size > KEPT_BYTES:
-                    seen.clear()
-                    size = 0
-                seen[raw] = shingles(raw, k)
-                size += len(raw) + seen[raw].nbytes
-            return seen[raw]
+        def deal() -> pa.RecordBatch:
+            rid = np.array([r for r, _, _ in held], np.int64)
+            n = np.array([n for _, n, _ in held], np.uint32)
+            own = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for _, _, t in held])
+            pos = np.concatenate([np.arange(len(t), dtype=np.uint32) for _, _, t in held])
+            token = np.concatenate([t for _, _, t in held])
+            at = np.argsort(token)
+            token, own, pos = token[at], own[at], pos[at]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            often = np.diff(np.concatenate([first, [len(token)]]))
+            told = np.repeat(often > 1, often)
+            leader = np.repeat(rid[own[first]], often)
+            steps = np.diff(rid, prepend=np.int64(0))
+            buckets, blobs = [], []
+            token >>= np.uint64(32 - bits)
+            if told.any():
+                t = np.flatnonzero(told)
+                buckets.append(int(token[t[0]] & np.uint64((1 << bits) - 1)))
+                blobs.append(packed(np.ones(1, np.uint8), token[t], rid[own[t]], n[own[t]], pos[t], leader[t]))
+            token, own, pos = token[first], own[first], pos[first]
+            which = (token >> np.uint64(32)).astype(np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
+            low = token.astype(np.uint32)
+            for i, j in zip(edges, edges[1:], strict=False):
+                buckets.append(int(which[i]))
+                blobs.append(packed(np.zeros(1, np.uint8), np.diff(low[i:j], prepend=np.uint32(0)), own[i:j], pos[i:j], n[own[i:j]], steps))
+            held.clear()
+            return _rows(names, bucket=pa.array(buckets, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
         for b in batches:
-            ok = pa.array([similar(of(x), of(y), num, den) for x, y in zip(binary(b.column(2)), binary(b.column(3)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+            n, h1, h2, more = [], [], [], []
+            for rid, s in zip(b.column(0).to_pylist(), shingles(b.column(2), k), strict=True):
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                d = np.frombuffer(digest, "<i8")
+                n.append(len(s))
+                h1.append(int(d[0]))
+                h2.append(int(d[1]))
+                more.append(None)
+                if len(s) and digest not in met:
+                    if len(met) >= COPIES:
+                        met.clear()
+                    met.add(digest)
+                    p = prefix_size(len(s), num, den)
+                    more[-1] = further(s, p).tobytes()
+                    held.append((rid, len(s), s[np.argsort(order[_buckets(s)], kind="stable")[:p]]))
+                    size += p
+            yield _rows(names, rid=b.column(0), doc_id=b.column(1), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), n=pa.array(n, pa.int64()), more=pa.array(more, pa.binary()))
+            if size >= GROUP:
+                yield deal()
+                size = 0
+        if held:
+            yield deal()
+
+    return texts.mapInArrow(sign, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, more binary, bucket int, blob binary")
+
+
+def _rows(names: list[str], **cols: pa.Array) -> pa.RecordBatch:
+    """A batch with these columns, and nulls in the others of signatures()."""
+    size = len(next(iter(cols.values())))
+    kinds = {"more": pa.binary(), "blob": pa.binary(), "bucket": pa.int32()}
+    return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, kinds.get(c, pa.int64())) for c in names], names=names)
+
+
+def shared_tokens(dealt: DataFrame, bits: int) -> DataFrame:
+    """Of (bucket, blob): a row (token, node, n, pos, first) for each text that holds a token that others hold too; first
+    is one of these texts, the same for those of a group, or else for all. token: the first 32 + bits bits."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(*cols: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names=["token", "node", "n", "pos", "first"])
+
+        for bucket, blobs in by_key(batches):
+            parts = []
+            for blob in blobs:
+                kind, *x = unpacked(blob)
+                if kind[0]:
+                    yield out(*x)
+                else:
+                    low, own, pos, n, steps = x
+                    parts.append((np.cumsum(low, dtype=np.uint32), np.cumsum(steps.view(np.int64))[own], n, pos))
+            if not parts:
+                continue
+            low, node, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            at = np.lexsort((node, low))
+            low, node, n, pos = low[at], node[at], n[at], pos[at]
+            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            often = np.diff(np.concatenate([first, [len(low)]]))
+            many = np.repeat(often > 1, often)
+            token = (bucket << 32) | low.astype(np.int64)
+            yield out(token[many], node[many], n[many], pos[many], np.repeat(node[first], often)[many])
+
+    rows = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(gather, "token bigint, node bigint, n bigint, pos bigint, first bigint")
+
+
+def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rids that are similar enough. First they must share prefix tokens in the further orders too,
+    by what rows hold of these; only then texts are read."""
+
+    def cross(x: pa.Array, y: pa.Array) -> list[bool]:
+        return [meet(u, v) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+
+    def check(x: pa.Array, y: pa.Array) -> list[bool]:
+        out = []
+        for u, v in zip(shingles(x, k), shingles(y, k), strict=True):
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(den * both >= num * (len(u) + len(v) - both))
+        return out
+
+    def passing(pairs: DataFrame, table: DataFrame, fn) -> DataFrame:
+        """Pairs that pass a test of what a table (rid, x) has of both; only the rows that pairs need are dealt to them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = pa.array(fn(b.column(2), b.column(3)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+        need = scratch.cut(table.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi"))
+        scratch.release()
+        one, two = (need.withColumnsRenamed({"rid": c, "x": f"x{c}"}) for c in ("a", "b"))
+        out = scratch.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint"))
+        scratch.drop(need)
+        scratch.release()
+        return out
+
+    pairs = scratch.cut(pairs)
+    near = passing(pairs, rows.where("more is not null").select("rid", F.col("more").alias("x")), cross)
+    return passing(near, texts.withColumnRenamed("text", "x"), check)
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,79 +232,73 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     Rows with one set are one node. A link needs a common token among the first ones of both sets in each of three
     orders: rarity (by a table of bucket counts over all rows), and two random ones. The first order makes candidates:
     nodes meet by prefix token, and a token counts only where the sizes and its places in both sets still allow enough
-    overlap. First each node is checked with one partner of its tokens, the one it shares most with; then only pairs in
-    different components are made, so groups of near copies are not expanded. Candidates must then share prefix tokens
-    in the other two orders, and are verified on the whole sets (64-bit hashes of shingles, equal shingles equal).
+    overlap. Candidates must share prefix tokens in the other orders too before any text is read; then whole sets
+    are compared (64-bit hashes of shingles, equal shingles equal). First each node is checked with one partner of its
+    tokens, the one it shares most with; then only pairs in different components are made, so groups of near copies are
+    not expanded: the operator gives components, not all links inside them.
 
     No word, empty or null text: no shingle, no links, component_id is the row's own id. A null id is kept and can't
-    name a component. Rows of one id and different texts stand for themselves. Other columns are not read.
+    name a component. Rows are told apart by a number of their own, so rows of one id or without any are compared as
+    any others are. Other columns are not read.
     """
+    return numbered(docs.withColumn("__rid", F.monotonically_increasing_id()), k, num, den, id_col, text_col).drop("row", "component_row")
+
+
+def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str = "__rid") -> DataFrame:
+    """join() of rows that have a number of their own, with these (row) and component_row: the number of the row that
+    stands for the component, one with the smallest id. Numbers must stay when docs are read again."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     scratch = Scratch(spark, "jaccard")
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rank = frequencies(slim.select("text"), k)
-    rows = scratch.cut(signatures(slim, k, num, den, rank))
-    nodes = scratch.cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")))
-    firsts = rows.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
-    tokens = firsts.select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    w = Window.partitionBy("token")
-    shared = tokens.withColumn("first", F.min("node").over(w)).withColumn("last", F.max("node").over(w)).where("first != last")
-    shared = scratch.cut(shared.select("token", "node", "n", "pos", "first"))
+    base = scratch.cut(docs.select(F.col(row_col).alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    texts = base.select("rid", "text")
+    rank, total = frequencies(base.select("text"), k)
+    bits = max(0, int(np.ceil(np.log2(max(1, total * (den - num) / den / RANGE)))))
+    made = scratch.cut(signatures(base, k, num, den, rank, bits))
+    rows = made.where("rid is not null").select("rid", "doc_id", "h1", "h2", "n", "more")
+    shared = scratch.cut(shared_tokens(made.where("bucket is not null").select("bucket", "blob"), bits))
     scratch.release()
     fit = f"{num} * (n1 + n2) <= {num + den} * least(n1 - pos1, n2 - pos2) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
 
+    # copies of one set in several tasks are one node: the pairs of their rows are links that need no proof
+    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("more").isNotNull(), F.col("rid"))).alias("node"))
+    held = rows.where("more is not null").select("rid", "h1", "h2").join(nodes, ["h1", "h2"]).select("rid", "node")
+    copies = scratch.cut(held.where("rid != node").select(F.col("rid").alias("a"), F.col("node").alias("b")))
+
     # one partner each
     partner = shared.where("node != first").groupBy("node", "first").count()
     partner = partner.groupBy("node").agg(F.max(F.struct(F.col("count"), -F.col("first"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.col2")).alias("b"))
     partner = scratch.cut(partner)
-    texts = scratch.cut(_texts(slim, rows, shared.select("node").distinct(), k))
-    good = scratch.cut(verified(partner, texts, k, num, den))
+    good = verified(scratch, partner, rows, texts, k, num, den).unionByName(copies)
     comp = scratch.cut(connected_components(scratch, good))
+    scratch.release()
 
     # then what is still apart
     apart = shared.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    apart = scratch.cut(apart.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo != hi").select("token", "node", "n", "pos", "c"))
+    ends = apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
+    apart = scratch.cut(apart.join(ends, "token", "left_semi"))
     one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
     pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
     tried = partner.select("a", "b").unionByName(partner.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = scratch.cut(verified(pairs, texts, k, num, den))
+    more = verified(scratch, pairs.join(tried, ["a", "b"], "left_anti"), rows, texts, k, num, den)
+    scratch.drop(shared)
+    scratch.drop(apart)
     # the second pairs connect components of the first
     ends = [comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
     bridges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     over = connected_components(scratch, bridges).select(F.col("node").alias("c"), F.col("component").alias("over"))
 
+    # rows to sets, sets to nodes, nodes to components
     named = nodes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).join(over, "c", "left")
-    named = named.select("h1", "h2", "least", F.coalesce("over", "c").alias("component"))
-    best = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(named.join(best, "component").select("h1", "h2", "component_id"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _texts(slim: DataFrame, rows: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the nodes needed: found by id, and told apart by their sets where an id is repeated."""
-    want = rows.join(need.withColumnRenamed("node", "rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("id"), "h1", "h2")
-    often = rows.groupBy(F.col("doc_id").alias("oid")).agg((F.count("*") > 1).alias("often"))
-    want = want.join(often, F.col("id").eqNullSafe(F.col("oid"))).drop("oid")
-    found = slim.join(want, F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "text", "h1", "h2", "often")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            ok = []
-            for raw, h1, h2, often in zip(binary(b.column(1)), *[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
-                if not often:
-                    ok.append(True)
-                    continue
-                d = np.frombuffer(xxhash.xxh3_128_digest(shingles(raw, k).tobytes()), "<i8")
-                ok.append((int(d[0]), int(d[1])) == (h1, h2))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["node", "text"])
-
-    return found.mapInArrow(own, "node bigint, text string").dropDuplicates(["node"])
+    named = named.select("h1", "h2", F.coalesce("over", "c").alias("component"))
+    owned = scratch.cut(rows.where("n > 0").select("rid", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("rid", "doc_id", "n", "component"))
+    least = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("component", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("least_row"))
+    alone = scratch.cut(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("row"), F.col("rid").alias("component_row")))
+    for t in (base, made):
+        scratch.drop(t)
+    scratch.release()
+    out = owned.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("rid").alias("row"), F.col("least_row").alias("component_row"))
+    return out.unionByName(alone)
 
 
 def op6_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetline.llm.common import BATCH_ROWS, binary, read
+from facetline.llm.common import binary, bounded, read
 from facetline.session import Scratch
 
 DEPTH = 5
@@ -197,7 +197,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     neighbours in the two nearest context bytes, at most 8 * 256 ** (depth - 1) strings each; the driver sees sums for depth 1, at most 256 by 255.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     scratch = Scratch(spark, "lm")
     text = F.col(text_col).cast("string")
     out_of = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(held[0])) == held[1]

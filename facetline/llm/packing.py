@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetline.llm.common import BATCH_ROWS, binary, read
+from facetline.llm.common import binary, bounded, read
 from facetline.llm.tokens import word_tokens
 from facetline.session import Scratch
 
@@ -84,7 +84,7 @@ def layout(bins: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarra
 def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, keep_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of at most size tokens, with the task that made it (part) and how many of its length that task
     had made before (nth)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetline.llm.common import WordHashes, binary, by_batch, read, windows
+from facetline.llm.common import binary, bounded, by_batch, hash_words, read, windows
 from facetline.session import Scratch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_letters bigint, n_upper bigint, n_marks bigint"
+NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 #: Each rule: name, when it votes bad, when it votes good; else it abstains. SQL over the statistics; fixed values.
 #: A rule that looks for one fault abstains where it finds none: that says little of the others' faults.
@@ -32,46 +33,45 @@ RULES = [
 PRIOR = {"bad": np.array([[0.25, 0.749, 0.001], [0.01, 0.989, 0.001]]), "good": np.array([[0.001, 0.899, 0.1], [0.001, 0.299, 0.7]])}
 STRENGTH = 0.2
 
-_words = WordHashes()
-
-
-def measure(raw: bytes) -> tuple[int, ...]:
-    """The statistics of one text, in the order of STATS."""
-    text = raw.decode("utf-8", "replace")
-    words = raw.split()
-    n = len(words)
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    rep = 0
-    if n > 3:
-        w = windows(_words(words), 3)
-        order = np.argsort(w, kind="stable")
-        s = w[order]
-        same = s[1:] == s[:-1]
-        if same.any():
-            hit = np.zeros(len(w), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            cover = np.zeros(n, bool)
-            for j in range(3):
-                cover[j : j + len(w)] |= hit
-            rep = int(cover.sum())
-    a = np.frombuffer(raw, np.uint8)
-    letters = a | np.uint8(32)
-    n_letters = int(((letters >= 97) & (letters <= 122)).sum())
-    n_upper = int(((a >= 65) & (a <= 90)).sum())
-    word_chars = len(text) - sum(text.count(c) for c in SPACES)
-    return n, word_chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), rep, len(lines), n_letters, n_upper, text.count("!") + text.count("?")
+
+def repeated(h: np.ndarray) -> int:
+    """Of a text's words (hashes), how many lie in three-word windows that the text has more than once."""
+    if len(h) <= 3:
+        return 0
+    w = windows(h, 3)
+    s = np.sort(w)
+    twice = s[1:][s[1:] == s[:-1]]
+    if not len(twice):
+        return 0
+    hit = twice[np.minimum(np.searchsorted(twice, w), len(twice) - 1)] == w
+    cover = np.zeros(len(h), bool)
+    for j in range(3):
+        cover[j : j + len(w)] |= hit
+    return int(cover.sum())
+
+
+def measure(col: pa.Array) -> list[pa.Array]:
+    """The statistics of all texts, in the order of STATS."""
+    h, at = hash_words(col)
+    rows = []
+    for raw, i, j in zip(binary(col), at, at[1:], strict=False):
+        text = raw.decode("utf-8", "replace")
+        lines = [x for x in text.split("\n") if x.strip(SPACES)]
+        a = np.frombuffer(raw, np.uint8)
+        letters = a | np.uint8(32)
+        n_letters = int(((letters >= 97) & (letters <= 122)).sum())
+        n_upper = int(((a >= 65) & (a <= 90)).sum())
+        word_chars = len(text) - sum(text.count(c) for c in SPACES)
+        rows.append((int(j - i), word_chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated(h[i:j]), len(lines), n_letters, n_upper, text.count("!") + text.count("?")))
+    return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(NAMES))]
 
 
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns to keep and STATS for every row; a null text has no words. One narrow pass."""
     slim = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    names = [x.split()[0] for x in STATS.split(", ")]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [measure(raw) for raw in binary(b.column(len(keep)))]
-        cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *names])
+        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *measure(b.column(len(keep)))], names=[*keep, *NAMES])
 
     return by_batch(slim, fn, StructType(slim.schema.fields[:-1] + StructType.fromDDL(STATS).fields))
 
@@ -141,17 +141,25 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     slim = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], F.col(f"`{text}`").alias("__t"))
     voted = scratch.cut(with_votes(statistics(slim, inner, "__t")))
     out = judged(voted, posteriors(voted), threshold)
-    stat = [x.split()[0] for x in STATS.split(", ")]
-    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *stat, "base_failed", *VOTES, "posterior", "kept")
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *NAMES, "base_failed", *VOTES, "posterior", "kept")
 
 
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns. Two narrow passes: votes are counted, then rows judged."""
+    """The rows of docs that judge() keeps, with their columns. Two narrow passes: votes are counted, then rows judged.
+    Only the text goes to Python, once a pass, and only numbers come back: whole rows stay where they are."""
+    bounded(docs.sparkSession)
     inner = [f"__k{i}" for i in range(len(docs.columns))]
     flat = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner, strict=True)])
     t = inner[docs.columns.index(text)]
     table = posteriors(with_votes(statistics(flat, [], t)))
-    out = judged(with_votes(statistics(flat, inner, t)), table, threshold).where("kept")
+
+    @F.arrow_udf(STATS)
+    def measured(col: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(measure(col), names=NAMES)
+
+    once = measured.asNondeterministic()  # else filters on its result would be pushed below it, with a second call
+    rows = flat.withColumn("__s", once(F.col(t).cast("string"))).select(*inner, *[F.col(f"__s.{n}").alias(n) for n in NAMES])
+    out = judged(with_votes(rows), table, threshold).where("kept")
     return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 

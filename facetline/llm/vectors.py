@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm.common import connected_components, read
+from facetline.llm.common import bounded, connected_components, read
 from facetline.session import Scratch
 
 BLOCK = 2048
@@ -96,7 +96,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cells: int = 24
     vectors of different lengths; a null id can't be a component's id. Repeated ids count as rows of their own.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    bounded(spark)
     scratch = Scratch(spark, "vectors")
     slim = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
 
@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cells: int = 24
     stop = (2 - 2 * threshold) * (1 + 1e-6) + 1e-12
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (big.slice(i, BLOCK) for big in batches for i in range(0, big.num_rows, BLOCK)):
             units = b.column(b.schema.get_field_index("u")).to_pylist()
             own, visits = [], []
             for n in {len(u) for u in units}:

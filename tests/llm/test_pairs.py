@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from fixtures import LOWER, documents, edited, prose, table, words
 
 from facetline.llm import jaccard, lm, passages, vectors
-from facetline.llm.common import connected_components
+from facetline.llm.common import connected_components, hash_words
 from facetline.session import Scratch
 
 
@@ -71,6 +73,18 @@ def test_jaccard_join(spark, seed):
     assert sorted(got, key=str) == sorted(jaccard_by_force(rows), key=str)
 
 
+def test_jaccard_of_rows_without_ids_and_of_a_hot_token(spark):
+    """Rows that share an id or have none stand for themselves; a third of the sets share a token of their prefixes."""
+    hot = "one phrase of five words"
+    rows = [(None, prose(800 + i % 40, 30)) for i in range(2000)] + [(7, prose(900 + i, 12)) for i in range(50)] + [(10 + i, f"{hot} w{i}") for i in range(1000)]
+    got = jaccard.join(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id is not None)
+    marked = jaccard.numbered(table(spark, rows[:2000]).withColumn("__rid", F.monotonically_increasing_id())).groupBy("component_row").count().collect()
+    assert [r["count"] for r in marked] == [50] * 40
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(table(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.join(table(spark, [(1, None), (None, "")])).orderBy("doc_id").collect()] == [(None, 0, None), (1, 0, 1)]
@@ -82,7 +96,10 @@ def test_prefix_filter_loses_nothing():
         x = np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.85], rng.integers(0, 60, 3).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)]))
         both = len(np.intersect1d(x, y))
-        assert jaccard.similar(x, y, 75, 100) == (100 * both >= 75 * (len(x) + len(y) - both))
+        if 100 * both >= 75 * (len(x) + len(y) - both):
+            assert jaccard.meet(*[jaccard.further(v, jaccard.prefix_size(len(v), 75, 100)).tobytes() for v in (x, y)])
+    apart = [np.arange(i, i + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in (1, 100)]
+    assert not jaccard.meet(*[jaccard.further(v, 11).tobytes() for v in apart])
 
 
 def test_passages(spark):
@@ -130,23 +147,58 @@ def test_passages_with_a_part_that_others_hold(spark, common):
     assert [(r.other_id, r.doc_id, r.other_start, r.other_end, r.start, r.end) for r in got] == [(5, 7, 70, 130, 70, 130)]
 
 
-def test_rare_seeds_reach_every_stretch():
-    rng = np.random.default_rng(4)
-    for _ in range(100):
-        pos = np.unique(rng.integers(0, 120, 60))
-        n = rng.integers(2, 9, len(pos))
-        ok = passages.rare(pos, n, 46)
-        for i in range(len(pos)):
-            own = np.flatnonzero((pos >= pos[i]) & (pos < pos[i] + 46))
-            if len(own) >= passages.SHARED:
-                assert ok[rng.choice(own, passages.SHARED, replace=False)].any()
+def test_passages_whose_parts_all_have_other_holders(spark):
+    """Two texts share 160 words; of each 40 of these, earlier and later texts have a copy."""
+    p = prose(6000, 160).split(" ")
+    part = [" ".join(p[i : i + 40]) for i in range(0, 160, 40)]
+    rows = [(i, prose(6100 + i, 30) + " " + part[i % 4] + " " + prose(6200 + i, 30)) for i in (0, 1, 2, 3, 90, 91, 92, 93)]
+    rows += [(i, prose(6100 + i, 50) + " " + " ".join(p) + " " + prose(6200 + i, 20)) for i in (50, 51)]
+    got = passages.find(table(spark, rows)).collect()
+    assert [(r.other_id, r.doc_id, r.start, r.end) for r in got] == [(50, 51, 50, 210)]
+
+
+def test_two_frequent_lines_in_a_row(spark):
+    one, two = prose(6300, 30), prose(6301, 30)
+    rows = [(i, prose(6400 + i, 60) + " " + (one, two)[i % 2] + " " + prose(6500 + i, 60)) for i in range(40)]
+    rows += [(i, prose(6400 + i, 60) + " " + one + " " + two + " " + prose(6500 + i, 60)) for i in (18, 19)]
+    got = {(r.other_id, r.doc_id, r.start, r.end) for r in passages.find(table(spark, [*rows[:18], *rows[20:]])).collect()}
+    assert got == {(18, 19, 60, 120)}
+
+
+def test_passages_of_a_third_of_all_texts(spark):
+    p = prose(6600, 70)
+    rows = [(i, prose(6700 + i, 40) + (" " + p if i % 3 == 0 else "") + " " + prose(6900 + i, 40)) for i in range(90)]
+    found = passages.find(table(spark, rows)).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(0, 90, 3))
+    assert all(abs(r.start - 40) <= 3 and abs(r.end - 110) <= 3 for r in found) and len(found) < 90
+    out = {r.doc_id: r.text for r in passages.drop_passages(table(spark, rows)).collect()}
+    assert [i for i in range(90) if p in out[i]] == [0] and all(len(words(out[i])) in range(74, 81) for i in range(1, 90))
+
+
+@pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.2])
+def test_recall_against_all_pairs(spark, share):
+    """Passages of 50 to 120 words in which a share of the words, at random places, is changed."""
+    rng = random.Random(int(100 * share))
+    rows = []
+    for g in range(40):
+        p = prose(7000 + g, rng.randint(50, 120)).split(" ")
+        q = [f"x{rng.randint(0, 9999)}" if rng.random() < share else w for w in p]
+        rows += [(2 * g, prose(7100 + g, 40) + " " + " ".join(p) + " " + prose(7200 + g, 40)), (2 * g + 1, prose(7300 + g, 20) + " " + " ".join(q) + " " + prose(7400 + g, 70))]
+    texts = [passages.Text((hash_words(pa.array([t]))[0] >> np.uint64(32)).astype("<u4").tobytes()) for _, t in rows]
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if any(min(e - s, f - t) >= 50 and m >= 0.75 * max(e - s, f - t) for s, e, t, f, m in passages.meet(texts[i], texts[j], 50))}
+    got = {(r.other_id, r.doc_id) for r in passages.find(table(spark, rows)).collect()}
+    assert got == want and got <= {(2 * g, 2 * g + 1) for g in range(40)}
+    assert len(got) >= 36
 
 
 def test_ends_grow_through_changes():
-    a = [b"%d" % i for i in range(60)]
-    b = [b"y%d" % i for i in range(9)] + [b"x" if i in (6, 13, 45, 52) else w for i, w in enumerate(a) if i != 20] + [b"z%d" % i for i in range(9)]
+    a = list(range(60))
+    b = [100 + i for i in range(9)] + [99 if i in (6, 13, 45, 52) else w for i, w in enumerate(a) if i != 20] + [200 + i for i in range(9)]
+    a, b = np.array(a), np.array(b)
     assert passages.align(a, b, [(25, 33, 15)]) == (0, 60, 9, 68, 55)
-    assert passages.align(a[:30], [b"q"] * 5 + a[10:20] + [b"r"] * 5, [(10, 5, 10)]) == (10, 20, 5, 15, 10)
+    assert passages.align(a[:30], np.concatenate([[91] * 5, a[10:20], [92] * 5]), [(10, 5, 10)]) == (10, 20, 5, 15, 10)
+    long = np.arange(1, 5000)
+    assert passages.align(long, long, [(2000, 2000, 15)]) == (0, 4999, 0, 4999, 4999)
 
 
 def test_passages_are_dropped_by_row(spark):
