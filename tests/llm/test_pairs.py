@@ -179,16 +179,17 @@ def test_passages_of_a_third_of_all_texts(spark):
 def test_recall_against_all_pairs(spark, share):
     """Passages of 50 to 120 words in which a share of the words, at random places, is changed."""
     rng = random.Random(int(100 * share))
-    rows = []
+    rows, good = [], 0
     for g in range(40):
         p = prose(7000 + g, rng.randint(50, 120)).split(" ")
         q = [f"x{rng.randint(0, 9999)}" if rng.random() < share else w for w in p]
+        good += min(sum(x == y for x, y in zip(p, q)) / len(p), 0.75) == 0.75
         rows += [(2 * g, prose(7100 + g, 40) + " " + " ".join(p) + " " + prose(7200 + g, 40)), (2 * g + 1, prose(7300 + g, 20) + " " + " ".join(q) + " " + prose(7400 + g, 70))]
     texts = [passages.Text((hash_words(pa.array([t]))[0] >> np.uint64(32)).astype("<u4").tobytes()) for _, t in rows]
     want = {(i, j) for j in range(len(rows)) for i in range(j) if any(min(e - s, f - t) >= 50 and m >= 0.75 * max(e - s, f - t) for s, e, t, f, m in passages.meet(texts[i], texts[j], 50))}
     got = {(r.other_id, r.doc_id) for r in passages.find(table(spark, rows)).collect()}
     assert got == want and got <= {(2 * g, 2 * g + 1) for g in range(40)}
-    assert len(got) >= 36
+    assert len(got) >= 0.9 * good
 
 
 def test_ends_grow_through_changes():
