@@ -23,6 +23,8 @@ ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 GROUP, RANGE = 1_000_000, 500_000
 #: Sets that a task remembers to deal copies' tokens once.
 COPIES = 500_000
+#: Rounds in which texts that are still apart are checked with one text of those that hold their tokens.
+ROUNDS = 3
 
 
 def shingles(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -234,8 +236,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     nodes meet by prefix token, and a token counts only where the sizes and its places in both sets still allow enough
     overlap. Candidates must share prefix tokens in the other orders too before any text is read; then whole sets
     are compared (64-bit hashes of shingles, equal shingles equal). First each node is checked with one partner of its
-    tokens, the one it shares most with; then only pairs in different components are made, so groups of near copies are
-    not expanded: the operator gives components, not all links inside them.
+    tokens, the one it shares most with, then in a few rounds with one more if both are still in different components;
+    then all pairs of different components that are left are made. So groups of near copies are not expanded: the
+    operator gives components, not all links inside them.
 
     No word, empty or null text: no shingle, no links, component_id is the row's own id. A null id is kept and can't
     name a component. Rows are told apart by a number of their own, so rows of one id or without any are compared as
@@ -273,24 +276,49 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     comp = scratch.cut(connected_components(scratch, good))
     scratch.release()
 
-    # then what is still apart
-    apart = shared.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    ends = apart.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    apart = scratch.cut(apart.join(ends, "token", "left_semi"))
+    # then with one text of all that hold its tokens and are still apart, another one each round
+    def components(now: DataFrame, edges: DataFrame) -> DataFrame:
+        """(node, component) after further edges between nodes, which connect components."""
+        ends = [now.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+        bridges = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = connected_components(scratch, bridges).select(F.col("node").alias("c"), F.col("component").alias("over"))
+        known = now.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node"), F.lit(None).cast("bigint").alias("component"))).groupBy("node").agg(F.max("component").alias("component"))
+        known = known.select("node", F.coalesce("component", "node").alias("c")).join(over, "c", "left")
+        return scratch.cut(known.select("node", F.coalesce("over", "c").alias("component")))
+
+    def still_apart(tokens: DataFrame) -> DataFrame:
+        """The rows of tokens that texts of several components hold, with each text's component."""
+        found = tokens.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
+        ends = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
+        return scratch.cut(found.join(ends, "token", "left_semi"))
+
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    tried = both_ways(partner)
+    apart = still_apart(shared)
+    scratch.drop(shared)
+    for i in range(ROUNDS):
+        by = F.xxhash64("node", F.lit(i)) if i else F.lit(0).cast("bigint")
+        head = apart.groupBy("token").agg(F.min(F.struct(by.alias("by"), "node", "c")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.c").alias("hc"))
+        met = apart.join(head, "token").where("c != hc").groupBy("node", "head").count().select(F.col("node").alias("a"), F.col("head").alias("b"), "count")
+        met = met.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("m"))
+        met = scratch.cut(met.select("a", (-F.col("m.col2")).alias("b")))
+        more = verified(scratch, met, rows, texts, k, num, den)
+        tried = tried.unionByName(both_ways(met))
+        if more.isEmpty():
+            break
+        comp = components(comp, more)
+        apart = still_apart(apart.drop("c"))
+    # then all pairs of what is still apart
     one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
     pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    tried = partner.select("a", "b").unionByName(partner.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = verified(scratch, pairs.join(tried, ["a", "b"], "left_anti"), rows, texts, k, num, den)
-    scratch.drop(shared)
     scratch.drop(apart)
-    # the second pairs connect components of the first
-    ends = [comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-    bridges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    over = connected_components(scratch, bridges).select(F.col("node").alias("c"), F.col("component").alias("over"))
+    comp = components(comp, more)
 
     # rows to sets, sets to nodes, nodes to components
-    named = nodes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).join(over, "c", "left")
-    named = named.select("h1", "h2", F.coalesce("over", "c").alias("component"))
+    named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     owned = scratch.cut(rows.where("n > 0").select("rid", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("rid", "doc_id", "n", "component"))
     least = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("component", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("least_row"))
     alone = scratch.cut(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("row"), F.col("rid").alias("component_row")))
