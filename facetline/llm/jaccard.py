@@ -215,7 +215,6 @@ def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFra
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
         need = scratch.cut(table.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi"))
-        scratch.release()
         one, two = (need.withColumnsRenamed({"rid": c, "x": f"x{c}"}) for c in ("a", "b"))
         out = scratch.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint"))
         scratch.drop(need)
@@ -223,6 +222,8 @@ def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFra
         return out
 
     pairs = scratch.cut(pairs)
+    if pairs.isEmpty():
+        return pairs
     near = passing(pairs, rows.where("more is not null").select("rid", F.col("more").alias("x")), cross)
     return passing(near, texts.withColumnRenamed("text", "x"), check)
 
@@ -244,16 +245,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     name a component. Rows are told apart by a number of their own, so rows of one id or without any are compared as
     any others are. Other columns are not read.
     """
-    return numbered(docs.withColumn("__rid", F.monotonically_increasing_id()), k, num, den, id_col, text_col).drop("row", "component_row")
+    scratch = Scratch(docs.sparkSession, "rows")
+    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    out = numbered(rows, k, num, den, "id", "text", "rid").drop("row", "component_row")
+    scratch.drop(rows)
+    return out
 
 
 def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str = "__rid") -> DataFrame:
     """join() of rows that have a number of their own, with these (row) and component_row: the number of the row that
-    stands for the component, one with the smallest id. Numbers must stay when docs are read again."""
+    stands for the component, one with the smallest id. docs are read several times, and numbers must stay: a written
+    table. What is returned does not read docs."""
     spark = docs.sparkSession
     bounded(spark)
     scratch = Scratch(spark, "jaccard")
-    base = scratch.cut(docs.select(F.col(row_col).alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    base = docs.select(F.col(row_col).alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = base.select("rid", "text")
     rank, total = frequencies(base.select("text"), k)
     bits = max(0, int(np.ceil(np.log2(max(1, total * (den - num) / den / RANGE)))))
@@ -310,20 +316,21 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
             break
         comp = components(comp, more)
         apart = still_apart(apart.drop("c"))
+        if apart.isEmpty():
+            break
     # then all pairs of what is still apart
     one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
     pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
     more = verified(scratch, pairs.join(tried, ["a", "b"], "left_anti"), rows, texts, k, num, den)
     scratch.drop(apart)
-    comp = components(comp, more)
+    comp = components(comp, more) if not more.isEmpty() else comp
 
     # rows to sets, sets to nodes, nodes to components
     named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     owned = scratch.cut(rows.where("n > 0").select("rid", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("rid", "doc_id", "n", "component"))
     least = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("component", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("least_row"))
     alone = scratch.cut(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("row"), F.col("rid").alias("component_row")))
-    for t in (base, made):
-        scratch.drop(t)
+    scratch.drop(made)
     scratch.release()
     out = owned.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("rid").alias("row"), F.col("least_row").alias("component_row"))
     return out.unionByName(alone)

@@ -42,6 +42,9 @@ TEMPLATES = [
 ]
 HINT = re.compile(r"licen[sc]|copyright|all rights reserved|permission (?:is hereby|to use)|redistribut|public domain|free software|creative commons|\bcc[ -](?:by|0)", re.I)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", re.I)
+#: Longer lines are read as several of so many words; the lines of such a length that a block has at most.
+WRAP = 30
+LINES = 8
 #: Lines without a hint that a block may hold between two that have one.
 BETWEEN = 2
 #: Of the words of a template, how many may differ in the text; words that tell licenses apart may not (fixed values).
@@ -49,15 +52,22 @@ DIFFERENCE = 0.1
 TELLING = re.compile(r"^(?:v?[0-9.]+|not|no|non.*|nd|nc|sa|by|by-.*|lesser|affero|general|mit|isc|bsd|apache|mozilla|gnu|cc|cc0|2-clause|3-clause|clause|all|reserved)$", re.I)
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of the runs of lines that speak of licenses."""
-    if not HINT.search(text):
-        return []
-    lines = text.split("\n")
-    hits = [i for i, x in enumerate(lines) if HINT.search(x)]
+def wrapped(text: str) -> tuple[list[str], list[int]]:
+    """The lines of a text, those of more than WRAP words cut into several, and which line of the text each is of."""
+    out, of = [], []
+    for i, line in enumerate(text.split("\n")):
+        at = [m.start() for m in WORD.finditer(line)][::WRAP] if len(line) > WRAP else []
+        cuts = [0, *at[1:], len(line)]
+        out += [line[x:y] for x, y in zip(cuts, cuts[1:], strict=False)] or [line]
+        of += [i] * (len(out) - len(of))
+    return out, of
+
+
+def blocks(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of the runs of lines that speak of licenses, of at most LINES lines each."""
     runs: list[list[int]] = []
-    for i in hits:
-        if runs and i - runs[-1][1] <= BETWEEN + 1:
+    for i in (i for i, x in enumerate(lines) if HINT.search(x)):
+        if runs and i - runs[-1][1] <= BETWEEN + 1 and i - runs[-1][0] < LINES:
             runs[-1][1] = i
         else:
             runs.append([i, i])
@@ -110,18 +120,20 @@ class Scanner:
     def text(self, text: str) -> list[tuple[int, str, float, list[str], list[str]]]:
         """(line, license, saving, missing, added) of each block as it is; then, with the words around it, of licenses
         that no block there has granted: notices are wrapped, and not each of their lines speaks of licenses."""
-        runs = blocks(text)
-        lines = text.split("\n") if runs else []
+        if not HINT.search(text):
+            return []
+        lines, of = wrapped(text)
+        runs = blocks(lines)
         out, granted = [], []
         for a, b, x in runs:
             for r in self.block(x):
-                out.append((a, *r))
+                out.append((of[a], *r))
                 granted.append((a, b, r[0]))
         for a, b, x in runs:
             lo, hi, wide = around(lines, a, b, self.most)
             for r in self.block(wide) if wide != x else []:
                 if not any(r[0] == name and lo <= d and c <= hi for c, d, name in granted):
-                    out.append((a, *r))
+                    out.append((of[a], *r))
                     granted.append((lo, hi, r[0]))
         return sorted(out, key=lambda r: r[0])
 
@@ -138,8 +150,6 @@ class Scanner:
         base = len(self.plain.compress(raw)) if near else 0
         ranked = sorted(((1 - len(self.with_dict[i].compress(raw)) / base, i) for i in near), key=lambda x: (-x[0], x[1]))
         for saved, i in ranked:
-            if saved <= 0:
-                break
             name = TEMPLATES[i][0]
             if name in taken:
                 continue
@@ -165,8 +175,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     compressed block; missing and added are the words by which the text differs from the template.
 
     Null and empty texts, and texts without a word about licenses, give no rows; repeated rows give their rows again.
-    Whole texts are read; a block ends where more than two lines say nothing of licenses, and is also read with the words
-    around it, as many as the longest template has, for licenses that it does not grant alone. One narrow pass.
+    Whole texts are read; lines of more than WRAP words count as several. A block ends where more than two lines say
+    nothing of licenses, or after LINES lines, and is also read with the words around it, as many as the longest template
+    has, for licenses that it does not grant alone: so results do not depend on how long lines are. One narrow pass.
     """
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:

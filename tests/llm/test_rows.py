@@ -84,6 +84,17 @@ def test_wrapped_notices(spark, mark):
     assert got == [(i, n) for i, n in enumerate(n for n, _ in full for _ in range(3))]
 
 
+@pytest.mark.parametrize("place", [0, 9_990, 19_990])
+def test_grants_in_one_long_line(spark, place):
+    """Every template, in a line of 20,000 words: at its start, its middle and its end."""
+    filler = prose(77, 20_000).split(" ")
+    rows = [(i, " ".join([*filler[:place], t, *filler[place:]])) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, rows)).collect()}
+    assert {(i, n) for i, (n, _) in enumerate(licenses.TEMPLATES)} <= got
+    # what else is found stands in that template's own words
+    assert all(any(set(licenses.words(t)) <= set(licenses.words(licenses.TEMPLATES[i][1])) for m, t in licenses.TEMPLATES if m == n) for i, n in got)
+
+
 def test_surrogates(spark):
     rows = [(1, TEXT), (1, TEXT), (2, "again foo.bar9@mail5.example.com and other@mail5.example.com"), (3, None), (4, ""), (5, prose(1, 50)), (None, "ip 10.20.30.255"), (6, "x " * 20000 + "10.20.30.255 1.2.3.4.5 1234")]
     df = table(spark, rows).withColumnRenamed("token", "found")
