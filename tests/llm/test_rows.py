@@ -98,13 +98,13 @@ def test_grants_in_one_long_line(spark, place):
 def test_surrogates(spark):
     rows = [(1, TEXT), (1, TEXT), (2, "again foo.bar9@mail5.example.com and other@mail5.example.com"), (3, None), (4, ""), (5, prose(1, 50)), (None, "ip 10.20.30.255"), (6, "x " * 20000 + "10.20.30.255 1.2.3.4.5 1234")]
     df = table(spark, rows).withColumnRenamed("token", "found")
-    out = pii.replace_private(df, found="entities").collect()
-    assert len(out) == len(rows) and pii.replace_private(df).columns == df.columns
+    out = pii.replace_private(df, "k", found="entities").collect()
+    assert len(out) == len(rows) and pii.replace_private(df, "k").columns == df.columns
     by = {r.doc_id: r for r in out if r.doc_id is not None}
     for secret in ("Schmidt", "Anna", "476", "Bar9", "10.20.30.255", "4111", "abcdef123", "AKIAMD", "Иван", "Петров"):
         assert secret not in by[1].text
     kinds = [(e.kind, e.surrogate) for e in by[1].entities]
-    assert [k for k, _ in kinds] == ["given_f", "family", "family", "phone", "phone", "email", "email", "ip", "card", "secret", "key", "given_m", "family"]
+    assert [k for k, _ in kinds] == ["given", "family", "family", "phone", "phone", "email", "email", "ip", "card", "secret", "key", "given", "family"]
     assert kinds[1] == kinds[2] and kinds[3] == kinds[4] and kinds[5] == kinds[6]  # coreference
     assert kinds[0][1].endswith("na") and re.fullmatch("[а-я]+", kinds[11][1])  # gender and script
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, \+1-\d{3}-\d{3}-\d{4}, ", by[1].text)  # format
@@ -116,11 +116,45 @@ def test_surrogates(spark):
     assert "10.20.30.255" not in by[6].text and "1.2.3.4.5 1234" in by[6].text
     other = pii.replace_private(table(spark, [(1, TEXT)]), key="another").first().text
     assert other != by[1].text
-    assert pii.replace_private(table(spark, [])).count() == 0
+    assert pii.replace_private(table(spark, []), "k").count() == 0
 
 
 def test_surrogates_stay_distinct_where_they_collide(spark):
     rows = [(i, f"ip {a}.{b}.7.7") for i, (a, b) in enumerate((a, b) for a in range(1, 10) for b in range(1, 10))]
-    out = pii.replace_private(table(spark, rows), found="entities").collect()
+    out = pii.replace_private(table(spark, rows), "k", found="entities").collect()
     fakes = [r.entities[0].surrogate for r in out]
     assert len(set(fakes)) == len(rows) and not {f"ip {f}" for f in fakes} & {t for _, t in rows}
+
+
+def test_one_person_has_one_surrogate(spark):
+    rows = [
+        (1, "Mrs Anna Schmidt met Dr Anna Schmidt. Later Anna Schmidt and Schmidt left, Schmidtke not; Anna's coat."),
+        (2, "Dr. Maria Anna Lopez-Garcia came. Then Lopez-Garcia and Maria spoke."), (3, "No form of address: Anna Schmidt."), (4, "Herr Kim Li, Frau Kim Li"),
+    ]
+    out = {r.doc_id: r for r in pii.replace_private(table(spark, rows), "k", found="entities").collect()}
+    anna, schmidt = (e.surrogate.capitalize() for e in out[1].entities[:2])
+    assert out[1].text == f"Mrs {anna} {schmidt} met Dr {anna} {schmidt}. Later {anna} {schmidt} and {schmidt} left, Schmidtke not; {anna}'s coat."
+    assert anna.endswith("na") and len({anna, schmidt}) == 2
+    maria, again, garcia = (e.surrogate.capitalize() for e in out[2].entities)
+    assert again == anna and out[2].text == f"Dr. {maria} {anna} {garcia} came. Then {garcia} and {maria} spoke."
+    assert out[3].text == rows[2][1]
+    assert len({(e.kind, e.surrogate) for e in out[4].entities}) == 2
+    with pytest.raises(ValueError):
+        pii.replace_private(table(spark, rows), "")
+
+
+def test_addresses_and_accounts(spark):
+    six = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"]
+    plain = ["at 12:30:45 a::b std::vector x", "ratio 3:4"]
+    iban = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    rows = [(i, f"see {x}, then") for i, x in enumerate(six + plain + iban)]
+    out = {r.doc_id: r for r in pii.replace_private(table(spark, rows), "k", found="entities").collect()}
+    for i, x in enumerate(six):
+        got = out[i].text[4:-6]
+        assert got != x and re.sub("[0-9a-fA-F]", "h", got) == re.sub("[0-9a-fA-F]", "h", x) and got.isupper() == x.isupper()
+    assert [out[3 + i].text for i in range(2)] == [t for _, t in rows[3:5]]
+    for i, x in enumerate(iban):
+        got = out[5 + i].text[4:-6]
+        assert got[:2] == x[:2] and got != x and [c == " " for c in got] == [c == " " for c in x]
+        flat = got.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
