@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,15 @@ def build_session(app: str = "facetline", master: str | None = None, partitions:
 class Scratch:
     """Tables written to the shared folder, to cut lineage so that a lost executor costs one table read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is used and set. ``cut`` writes and rereads; ``drop`` deletes a table no later step reads.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
+    process (tests) a temporary folder is used. ``cut`` writes and rereads; ``drop`` deletes a table no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FACETLINE_LOCAL_SCRATCH")
+        if not base and not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not base:
             base = os.environ["FACETLINE_LOCAL_SCRATCH"] = tempfile.mkdtemp(prefix="facetline-")
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
