@@ -34,7 +34,7 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage so that a lost executor costs one table read.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
-    process (tests) a temporary folder is used. ``cut`` writes and rereads; ``drop`` deletes a table no later step reads.
+    process (tests) a temporary folder is used. ``cut`` and ``dealt`` write and reread; ``drop`` deletes a table no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -55,6 +55,15 @@ class Scratch:
         out._facetline_scratch = path
         return out
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """cut(), dealt to as many buckets as shuffles have partitions: joins on the key do not move this table again."""
+        self.n += 1
+        path, name, n = f"{self.base}/t{self.n}", f"facetline_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).write.option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        out._facetline_scratch, out._facetline_table = path, name
+        return out
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of steps that are over: it does so when the driver collects its garbage."""
         gc.collect()
@@ -62,6 +71,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_facetline_scratch", None)
+        if getattr(df, "_facetline_table", None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._facetline_table}")
         if path:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
