@@ -24,7 +24,7 @@ GROUP, RANGE = 1_000_000, 500_000
 #: Sets that a task remembers to deal copies' tokens once.
 COPIES = 500_000
 #: Rounds in which texts that are still apart are checked with one text of those that hold their tokens.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingles(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -193,7 +193,7 @@ def shared_tokens(dealt: DataFrame, bits: int) -> DataFrame:
 
 
 def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rids that are similar enough. First they must share prefix tokens in the further orders too,
+    """The pairs (a, b) of rids, a written table, that are similar enough. First they must share prefix tokens in the further orders too,
     by what rows hold of these; only then texts are read."""
 
     def cross(x: pa.Array, y: pa.Array) -> list[bool]:
@@ -221,7 +221,6 @@ def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFra
         scratch.release()
         return out
 
-    pairs = scratch.cut(pairs)
     if pairs.isEmpty():
         return pairs
     near = passing(pairs, rows.where("more is not null").select("rid", F.col("more").alias("x")), cross)
@@ -246,7 +245,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     any others are. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "rows")
-    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = scratch.dealt(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
     out = numbered(rows, k, num, den, "id", "text", "rid").drop("row", "component_row")
     scratch.drop(rows)
     return out
@@ -255,7 +254,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
 def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str = "__rid") -> DataFrame:
     """join() of rows that have a number of their own, with these (row) and component_row: the number of the row that
     stands for the component, one with the smallest id. docs are read several times, and numbers must stay: a written
-    table. What is returned does not read docs."""
+    table, best one that is dealt by its numbers, as texts are then joined where they are. What is returned does not read
+    docs."""
     spark = docs.sparkSession
     bounded(spark)
     scratch = Scratch(spark, "jaccard")
@@ -295,8 +295,8 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     def still_apart(tokens: DataFrame) -> DataFrame:
         """The rows of tokens that texts of several components hold, with each text's component."""
         found = tokens.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-        ends = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-        return scratch.cut(found.join(ends, "token", "left_semi"))
+        ends = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("holders")).where("lo != hi").select("token", "holders")
+        return scratch.cut(found.join(ends, "token"))
 
     def both_ways(pairs: DataFrame) -> DataFrame:
         return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -304,9 +304,10 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     tried = both_ways(partner)
     apart = still_apart(shared)
     scratch.drop(shared)
-    for i in range(ROUNDS):
-        by = F.xxhash64("node", F.lit(i)) if i else F.lit(0).cast("bigint")
-        head = apart.groupBy("token").agg(F.min(F.struct(by.alias("by"), "node", "c")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.c").alias("hc"))
+    for _ in range(ROUNDS):
+        # the text whose tokens have most holders: of near copies it is likely the one that they come from
+        known = apart.groupBy("node").agg((-F.sum("holders")).alias("by"))
+        head = apart.join(known, "node").groupBy("token").agg(F.min(F.struct("by", "node", "c")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.c").alias("hc"))
         met = apart.join(head, "token").where("c != hc").groupBy("node", "head").count().select(F.col("node").alias("a"), F.col("head").alias("b"), "count")
         met = met.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("m"))
         met = scratch.cut(met.select("a", (-F.col("m.col2")).alias("b")))
@@ -315,13 +316,13 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
         if more.isEmpty():
             break
         comp = components(comp, more)
-        apart = still_apart(apart.drop("c"))
+        apart = still_apart(apart.drop("c", "holders"))
         if apart.isEmpty():
             break
     # then all pairs of what is still apart
     one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
     pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    more = verified(scratch, pairs.join(tried, ["a", "b"], "left_anti"), rows, texts, k, num, den)
+    more = verified(scratch, scratch.cut(pairs.join(tried, ["a", "b"], "left_anti")), rows, texts, k, num, den)
     scratch.drop(apart)
     comp = components(comp, more) if not more.isEmpty() else comp
 
