@@ -69,13 +69,17 @@ def consensus(members: DataFrame, key: list[str], column: str) -> DataFrame:
 
 def suggestion(members: DataFrame, key: str) -> DataFrame:
     """Per group: the action, identity and variant to offer. All members must agree on the action; a merge needs one
-    identity and one variant, a new variant one identity; otherwise the action is left blank."""
-    parts = [consensus(members, [key], c).select(key, c) for c in ("action", "identity", "variant")]
-    out = parts[0].join(parts[1], key).join(parts[2], key)
-    merge = (F.col("action") == "merge") & (F.col("identity") != "") & (F.col("variant") != "")
-    variant = (F.col("action") == "new_variant") & (F.col("identity") != "")
-    action = F.when(merge | variant | (F.col("action") == "new_identity"), F.col("action")).otherwise("")
-    return out.select(key, action.alias("action"), F.when(merge | variant, F.col("identity")).otherwise("").alias("identity"), F.when(merge, F.col("variant")).otherwise("").alias("variant"))
+    identity and one variant, a new variant one identity, else the action is blank. An identity that all agree on is
+    offered even where actions differ, but not with a new identity or a discard."""
+    columns = ("action", "identity", "variant")
+    text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+    agreed = [F.when(F.min(t) == F.max(t), F.min(t)).otherwise("").alias(c) for c, t in text.items()]
+    out = members.groupBy(key).agg(*agreed)
+    action, identity, variant = (F.col(c) for c in columns)
+    alone = action.isin("new_identity", "discard")
+    merge = (action == "merge") & (identity != "") & (variant != "")
+    new = (action == "new_variant") & (identity != "")
+    return out.select(key, F.when(alone | merge | new, action).otherwise("").alias("action"), F.when(alone, "").otherwise(identity).alias("identity"), F.when(merge, variant).otherwise("").alias("variant"))
 
 
 def duplicates(rows: DataFrame, name: Column) -> DataFrame:

@@ -16,30 +16,28 @@ BLOCK = 4096
 DECIMALS = 9
 
 
-def _matrix(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows and whether a row has a direction; rows of another length than the longest have none."""
+def _by_length(col: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the vectors with a direction, and their unit rows."""
     rows = [np.zeros(0) if v is None else np.asarray(v, float) for v in col]
-    dim = max((len(r) for r in rows), default=0)
-    m = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        if len(r) == dim:
-            m[i] = r
-    norm = np.sqrt((m * m).sum(1))
-    ok = norm > 0
-    m[ok] /= norm[ok, None]
-    return m, ok
+    size = np.array([len(r) for r in rows])
+    out = {}
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        m = np.stack([rows[i] for i in at])
+        norm = np.sqrt((m * m).sum(1))
+        ok = norm > 0
+        out[n] = at[ok], m[ok] / norm[ok, None]
+    return out
 
 
 def _distances(a: pd.DataFrame, b: pd.DataFrame, others: bool) -> np.ndarray:
-    """Infinite where an id would meet itself and only others are wanted."""
-    (x, okx), (y, oky) = _matrix(a["vec"]), _matrix(b["vec"])
-    if x.shape[1] == y.shape[1]:
-        d = 1 - x @ y.T
-        d[~okx] = 1
-        d[:, ~oky] = 1
-        d = np.round(d, DECIMALS) + 0.0
-    else:
-        d = np.ones((len(a), len(b)))
+    """1 between vectors of different lengths or without a direction, whatever else is in their blocks; infinite where an
+    id would meet itself and only others are wanted."""
+    x, y = _by_length(a["vec"]), _by_length(b["vec"])
+    d = np.ones((len(a), len(b)))
+    for n in x.keys() & y.keys():
+        (i, u), (j, v) = x[n], y[n]
+        d[np.ix_(i, j)] = np.round(1 - u @ v.T, DECIMALS) + 0.0
     if others:
         d[a["query_id"].to_numpy()[:, None] == b["variant_id"].to_numpy()[None]] = np.inf
     return d

@@ -47,7 +47,11 @@ def review_document(tracks: DataFrame, video_id: str, input_path: str, review_id
 def commit(store: Store, text: str, sidecar: str, dim: int) -> str:
     """Commits a reviewed document."""
     doc = review.read(text)
-    return commits.apply(store, doc["video_id"], doc["input_path"], review.prepare(review.hydrate(doc, sidecar), dim))
+
+    def exists(identity: int) -> bool:
+        return not store.table("identities").where(F.col("id") == identity).isEmpty()
+
+    return commits.apply(store, doc["video_id"], doc["input_path"], review.prepare(review.hydrate(doc, sidecar), dim, exists))
 
 
 rollback = commits.revert

@@ -246,6 +246,39 @@ def linger_asof(spark: SparkSession, d: str) -> DataFrame:
     return windows.last_seen(ev, ["video", "track"], "sec", "box", 100000).select("video", "track", "sec", "event_id", "held")
 
 
+@query("""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_slice(CAST(embedding AS DOUBLE[]), 1, 32) ELSE CAST(embedding AS DOUBLE[]) END AS vec FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS variant_id, CASE WHEN len(q.vec) = len(v.vec) THEN round(list_cosine_distance(q.vec, v.vec), 9) ELSE 1 END AS distance FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, variant_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, variant_id) AS rank FROM p) WHERE rank <= 2""")
+def knn_mixed_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The two nearest variants where a third of the vectors has half the length: those are at distance 1 from others."""
+    vec = F.col("embedding").cast("array<double>")
+    v = _t(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.slice(vec, 1, 32)).otherwise(vec).alias("vec"))
+    queries = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.nearest(queries, v.withColumnRenamed("vec_id", "variant_id"), 2, others=True).select("query_id", "variant_id", "distance", "rank")
+
+
+_MEMBERS = """
+SELECT o_custkey AS grp, CASE o_orderstatus WHEN 'F' THEN 'merge' WHEN 'O' THEN 'new_variant' ELSE CASE WHEN o_custkey % 5 = 0 THEN 'discard' ELSE ' new_identity' END END AS action,
+  CASE WHEN o_custkey % 3 > 0 THEN concat(' ', o_custkey % 7) ELSE o_orderpriority END AS identity, CASE WHEN o_custkey % 2 = 0 THEN 'v' ELSE o_orderpriority END AS variant
+FROM orders"""
+
+
+@query(f"""
+WITH m AS ({_MEMBERS}),
+g AS (SELECT grp, CASE WHEN count(DISTINCT trim(action)) = 1 THEN min(trim(action)) ELSE '' END AS a, CASE WHEN count(DISTINCT trim(identity)) = 1 THEN min(trim(identity)) ELSE '' END AS i, CASE WHEN count(DISTINCT trim(variant)) = 1 THEN min(trim(variant)) ELSE '' END AS v FROM m GROUP BY grp)
+SELECT grp, CASE WHEN a IN ('new_identity', 'discard') OR (a = 'new_variant' AND i <> '') OR (a = 'merge' AND i <> '' AND v <> '') THEN a ELSE '' END AS action,
+  CASE WHEN a IN ('new_identity', 'discard') THEN '' ELSE i END AS identity, CASE WHEN a = 'merge' AND i <> '' AND v <> '' THEN v ELSE '' END AS variant FROM g""")
+def group_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    """What a review offers for groups whose members agree, or do not, on action, identity and variant."""
+    o, c = _t(spark, d, "orders"), F.col("o_custkey")
+    new = F.when(c % 5 == 0, "discard").otherwise(" new_identity")
+    action = F.when(F.col("o_orderstatus") == "F", "merge").when(F.col("o_orderstatus") == "O", "new_variant").otherwise(new)
+    identity = F.when(c % 3 > 0, F.concat(F.lit(" "), (c % 7).cast("string"))).otherwise(F.col("o_orderpriority"))
+    variant = F.when(c % 2 == 0, "v").otherwise(F.col("o_orderpriority"))
+    return aggregates.suggestion(o.select(c.alias("grp"), action.alias("action"), identity.alias("identity"), variant.alias("variant")), "grp")
+
+
 @query(f"WITH ev AS ({EV}) SELECT sec // 3600 AS frame, count(DISTINCT CASE WHEN track < 10 THEN track END) AS seen, count(DISTINCT CASE WHEN track < 10 THEN track END) < 10 AS paranoid FROM ev GROUP BY frame")
 def paranoid_strict(spark: SparkSession, d: str) -> DataFrame:
     ev = _events(spark, d).withColumn("frame", F.floor(F.col("sec") / 3600))
@@ -258,7 +291,7 @@ SELECT video, count(*) AS n, min(event_id) AS first, max(event_id) AS last, coun
 UNION ALL SELECT 'all', count(*), min(event_id), max(event_id), count(*) = (max(event_id) - min(event_id)) // 5 + 1 FROM ev WHERE event_id % 5 = 0""")
 def nth_frame_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth frame, as the decoder samples them, and whether none is missing."""
-    ev = _events(spark, d).where("event_id % 5 = 0")
+    ev = video.sample_frames(_events(spark, d).withColumn("frame_index", F.col("event_id")), 5)
     ev = ev.select(F.explode(F.array(F.col("video"), F.lit("all"))).alias("video"), "event_id")
     n, lo, hi = F.count("*"), F.min("event_id"), F.max("event_id")
     return ev.groupBy("video").agg(n.alias("n"), lo.alias("first"), hi.alias("last")).withColumn("complete", F.expr("n = (last - first) div 5 + 1"))

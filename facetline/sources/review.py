@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import secrets
+from collections.abc import Callable
 from typing import Any
 
 from facetline.functions.constants import EMBEDDING_DIM
@@ -134,6 +135,8 @@ def sidecar_path(path: str) -> str:
 def hydrate(doc: dict, sidecar: str) -> list[dict]:
     """expand(), with vector, count and times; the JSON must be of this review, with these tracks, and none edited."""
     side = json.loads(sidecar)
+    if blank := [k for k in ("review_id", "video_id", "input_path") if not doc.get(k)]:
+        raise ReviewError(f"the review lacks {', '.join(blank)}")
     for k in ("review_id", "video_id", "input_path"):
         if side.get(k) != doc.get(k):
             raise ReviewError(f"{k} of the data file differs")
@@ -148,7 +151,8 @@ def hydrate(doc: dict, sidecar: str) -> list[dict]:
     return rows
 
 
-def validate(r: dict, dim: int = EMBEDDING_DIM) -> None:
+def validate(r: dict, dim: int = EMBEDDING_DIM, exists: Callable[[int], bool] = lambda _: True) -> None:
+    """exists: whether there is an identity of this number; a new identity's name must not be the label of one."""
     who = f"track {r['track_id']}"
     if r["action"] == "":
         raise ReviewError(f"{who} still needs an action")
@@ -164,18 +168,18 @@ def validate(r: dict, dim: int = EMBEDDING_DIM) -> None:
         raise ReviewError(f"{who} needs an identity")
     if r["action"] == "new_variant" and not r["variant"]:
         raise ReviewError(f"{who} needs a variant")
-    if r["action"] == "new_identity" and LABEL.match(r["identity"]):
+    if r["action"] == "new_identity" and (m := LABEL.match(r["identity"])) and exists(int(re.search(r"\d+", m[0])[0])):
         raise ReviewError(f"{who}: {r['identity']!r} is a system label")
 
 
-def prepare(rows: list[dict], dim: int = EMBEDDING_DIM) -> list[dict]:
+def prepare(rows: list[dict], dim: int = EMBEDDING_DIM, exists: Callable[[int], bool] = lambda _: True) -> list[dict]:
     """The actions of a commit: a group that creates something seeds it with its first track and merges the rest into
     that one. New identities' names must differ, whatever their case."""
     seeds: dict[Any, str] = {}
     names: set[str] = set()
     out = []
     for r in rows:
-        validate(r, dim)
+        validate(r, dim, exists)
         a = dict(r)
         if r["action"] in ("new_identity", "new_variant"):
             if r["group"] in seeds:

@@ -77,3 +77,16 @@ def test_worker_stream():
         media.decode_faces(data[:-2])
     with pytest.raises(media.StreamError, match="no face"):
         media.decode_faces(b"\0\0\0\x0c\x01\0\0\0\x07no face")
+
+
+def test_new_identity_may_not_have_the_label_of_an_existing_one():
+    r = {"track_id": "1", "action": "new_identity", "identity": "identity 7", "variant": "", "vec": [1.0], "count": 1, "start_time": 0.0, "end_time": 1.0, "group": 1}
+    review.validate(r, 1, lambda i: i != 7)
+    with pytest.raises(review.ReviewError):
+        review.validate(r, 1, lambda i: i == 7)
+
+
+def test_review_without_ids_is_refused():
+    doc = {"review_id": "", "video_id": "v", "input_path": "/x.mp4", "raw_tracks": {}}
+    with pytest.raises(review.ReviewError, match="review_id"):
+        review.hydrate(doc, '{"review_id": "", "video_id": "v", "input_path": "/x.mp4", "tracks": {}}')

@@ -113,3 +113,17 @@ def test_files(spark, tmp_path):
     assert media.video_ids(spark, f"{tmp_path}/r").first().size == 53
     v = spark.createDataFrame([("N/A", "25/1"), ("30000/1001", "1/1")], "avg_frame_rate string, r_frame_rate string")
     assert [round(r.fps, 3) for r in media.with_fps(v).collect()] == [25.0, 29.97]
+
+
+def test_distances_of_mixed_lengths_do_not_depend_on_blocks(spark):
+    from facetline.functions import exprs
+    from facetline.operators import search
+
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None), (6, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "variant_id long, vec array<double>")
+    q = v.withColumnRenamed("variant_id", "query_id")
+    pairs = q.crossJoin(v.withColumnRenamed("vec", "other"))
+    want = {(r.query_id, r.variant_id, round(r.d, 9)) for r in pairs.withColumn("d", exprs.cosine_distance(F.col("vec"), F.col("other"))).collect()}
+    for block in (1, 2, 4096):
+        got = {(r.query_id, r.variant_id, r.distance) for r in search.nearest(q, v, 6, block=block).collect()}
+        assert got == want
