@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetline.functions import exprs as X
-from facetline.functions.constants import MATCH_THRESHOLD
+from facetline.functions.constants import EMBEDDING_DIM, MATCH_THRESHOLD
 from facetline.kernels import redaction, tracker
-from facetline.operators import aggregates, joins, search, video
-from facetline.sources import review
+from facetline.operators import aggregates, detect, joins, search, video
+from facetline.plans import options as O
+from facetline.sources import files, review
 from facetline.store import commits
 from facetline.store.snapshot import Store
 
@@ -59,6 +62,7 @@ rollback = commits.revert
 
 def find(store: Store, vec: list[float], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Where the person of a vector appears: all intervals of the nearest variant's identity; empty if none is near."""
+    O.fraction(threshold, "match threshold")
     q = store.spark.createDataFrame([(1, list(map(float, vec)))], "query_id long, vec array<double>")
     hit = search.closest(q, _variants(store), threshold).first()
     v = store.table("variants")
@@ -66,6 +70,18 @@ def find(store: Store, vec: list[float], threshold: float = MATCH_THRESHOLD) ->
     return joins.timeline(store.table("face_intervals"), v, store.table("video_metadata"), owner.identity_id if owner else -1).orderBy("path", "video_id", "start_time")
 
 
+def find_image(store: Store, image: bytes, load: Callable[[], Callable[[bytes], list[dict]]], threshold: float = MATCH_THRESHOLD, dim: int = EMBEDDING_DIM) -> DataFrame | None:
+    """find() of the largest face of an image, the first on ties, as the detector that load() makes sees it; None if it
+    sees none."""
+    O.fraction(threshold, "match threshold")
+    frame = store.spark.createDataFrame([("", 0, bytearray(image))], "video_id string, frame_index long, data binary")
+    faces = detect.detect(frame, load, dim=dim).where("face_idx is not null").collect()  # of one image
+    if not faces:
+        return None
+    best = video.largest_face(store.spark.createDataFrame(faces, detect.FULL)).first()
+    return find(store, best.vec, threshold)
+
+
 def list_identities(store: Store, limit: int = 0, offset: int = 0, name: str = "") -> DataFrame:
     out = aggregates.identity_summary(store.table("identities"), store.table("variants"))
     if name:
@@ -98,3 +114,15 @@ def redact(store: Store, detections: DataFrame, identities: list[int], options:
         raise commits.CommitError(f"no variants of {missing}")
     own = v.where(F.col("identity_id").isin(identities)).orderBy("id").select("identity_id", "embedding").collect()  # the stated targets
     return video.redaction_plan(detections, [(r.identity_id, r.embedding) for r in own], options)
+
+
+def reset(store: Store, output: str, tables: bool = False, outputs: bool = False, debug: bool = False, confirm: Callable[[str], bool] = lambda question: False) -> list[str]:
+    """Clears the tables, the output files and the debug frames, or all of these if none is named; each only if confirm
+    says so. Tables are cleared by an empty version. Returns what went."""
+    if not (tables or outputs or debug):
+        tables = outputs = debug = True
+    gone = []
+    if tables and confirm("Drop all tables?"):
+        store.reset()
+        gone.append("tables")
+    return gone + files.reset_files(files.Files(store.spark, output), outputs, debug, confirm)

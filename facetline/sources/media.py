@@ -83,6 +83,22 @@ def with_fps(videos: DataFrame) -> DataFrame:
     return videos.withColumn("fps", F.coalesce(X.fps(F.col("avg_frame_rate")), X.fps(F.col("r_frame_rate"))))
 
 
+#: What a probe of a video's first stream gives.
+PROBE = "struct<streams: array<struct<width: int, height: int, nb_frames: string, avg_frame_rate: string, r_frame_rate: string>>>"
+
+
+def probed(videos: DataFrame) -> DataFrame:
+    """videos with a probe's JSON in probe: instead, width, height, nb_frames and fps of the first stream. A number of
+    frames that is missing, not a number or not positive is 0, which means unknown; sizes that are not positive are null,
+    and so is all of a probe that can't be read or has no stream."""
+    s = F.from_json(F.col("probe"), PROBE)["streams"]
+    s = F.get(s, F.lit(0))
+    frames = F.greatest(F.coalesce(s["nb_frames"].try_cast("long"), F.lit(0)), F.lit(0))
+    size = {c: F.when(s[c] > 0, s[c]) for c in ("width", "height")}
+    rates = {c: s[c] for c in ("avg_frame_rate", "r_frame_rate")}
+    return with_fps(videos.withColumns({**size, "nb_frames": frames, **rates})).drop("probe", *rates)
+
+
 class StreamError(ValueError):
     """A worker's own message, or a stream that breaks off."""
 

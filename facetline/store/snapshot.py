@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetline.store.schema import CASCADES, TABLES
 from facetline.operators import dml
+from facetline.sources.files import Files
+from facetline.store.schema import CASCADES, TABLES
 
 
 class Conflict(RuntimeError):
@@ -23,6 +24,7 @@ class Store:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files = Files(spark, self.root)
         if self.version() < 0:
             self.publish({}, -1)
 
@@ -62,13 +64,9 @@ class Store:
             path = f"{name}/{uuid.uuid4().hex}"
             df.selectExpr(*[f"cast({c.split()[0]} as {c.split(' ', 1)[1]}) as {c.split()[0]}" for c in TABLES[name].split(", ")]).write.parquet(f"{self.root}/{path}")
             m[name] = path
-        target = self._path(f"{self.root}/_versions/v{base + 1:08d}.json")
-        try:
-            out = self._fs.create(target, False)  # fails where another writer made it: compare and swap
-        except Exception as e:
-            raise Conflict(f"version {base + 1} exists") from e
-        out.write(bytearray(json.dumps(m).encode()))
-        out.close()
+        # renamed only where no other writer's manifest is: compare and swap, and no reader sees half of it
+        if not self._files.write(f"_versions/v{base + 1:08d}.json", json.dumps(m).encode(), replace=False):
+            raise Conflict(f"version {base + 1} exists")
         return base + 1
 
     def reset(self) -> int:
