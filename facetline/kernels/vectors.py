@@ -15,7 +15,18 @@ def distance(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def distances(a: np.ndarray | None, rows: list) -> np.ndarray:
-    return np.array([distance(a, r) for r in rows])
+    """distance() to each row: rows of the vector's length are stacked and multiplied at once."""
+    out = np.ones(len(rows))
+    if a is None or len(a) == 0:
+        return out
+    fit = [i for i, r in enumerate(rows) if r is not None and len(r) == len(a)]
+    if fit:
+        a, m = np.asarray(a, float), np.asarray([rows[i] for i in fit], float)
+        # sums by row, so that equal rows are equally far
+        n = np.sqrt(np.einsum("ij,ij->i", m, m)) * np.sqrt(np.einsum("i,i->", a, a))
+        dot = np.einsum("ij,j->i", m, a)
+        out[fit] = 1 - np.divide(dot, n, out=np.zeros(len(fit)), where=n > 0)
+    return out
 
 
 def nearest(a: np.ndarray | None, rows: list, below: float) -> int:

@@ -55,11 +55,13 @@ class Scratch:
         out._facetline_scratch = path
         return out
 
-    def dealt(self, df: DataFrame, key: str) -> DataFrame:
-        """cut(), dealt to as many buckets as shuffles have partitions: joins on the key do not move this table again."""
+    def dealt(self, df: DataFrame, key: str, move: bool = True) -> DataFrame:
+        """cut(), dealt to as many buckets as shuffles have partitions: joins on the key do not move this table again.
+        Without move, each task writes the rows that it has to their buckets: for rows that lie together already."""
         self.n += 1
         path, name, n = f"{self.base}/t{self.n}", f"facetline_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(n, key).write.option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        df = df.repartition(n, key) if move else df
+        df.write.option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         out._facetline_scratch, out._facetline_table = path, name
         return out

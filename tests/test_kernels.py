@@ -193,3 +193,15 @@ def test_gauss_stays_in_the_box():
     outside = np.ones((5, 5), bool)
     outside[1:4, 1:4] = False
     assert (img[outside] == before[outside]).all() and img[2, 2, 0] != before[2, 2, 0] and (img[..., 3] == 255).all()
+
+
+def test_distances_at_once_are_those_one_by_one():
+    from facetline.kernels import vectors
+
+    rng = np.random.default_rng(5)
+    rows = [*rng.normal(size=(20, 6)), np.zeros(6), None, [], rng.normal(size=5)]
+    rows += [rows[3], [2 * x for x in rows[3]]]
+    for a in (rng.normal(size=6), np.zeros(6), rng.normal(size=5), None, []):
+        assert np.allclose(vectors.distances(a, rows), [vectors.distance(a, r) for r in rows], atol=1e-12)
+    assert vectors.nearest(rows[3], rows, 0.5) == 3 and vectors.nearest(rows[3], [], 0.5) == -1
+    assert len(set(vectors.distances(rng.normal(size=6), [rows[3]] * 9))) == 1
