@@ -84,7 +84,8 @@ def meet(a: bytes, b: bytes) -> bool:
 
 def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, bits: int) -> DataFrame:
     """Of (rid, doc_id, text): rows (rid, doc_id, h1, h2 (of the whole set), n, more (see further())) and, among them, rows
-    (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges of tokens. Sets that a task has met
+    (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges of tokens; their rid is one of those
+    that they are of, so that all rows lie where the texts do. Sets that a task has met
     before have neither tokens nor more. Of the texts of one group that share a token only one goes to the token's range,
     so a hot token is as many entries there as groups; all of them go along told, with any range."""
     spread = texts.sparkSession.sparkContext.broadcast(rank)
@@ -124,7 +125,7 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, b
                 buckets.append(int(which[i]))
                 blobs.append(packed(np.zeros(1, np.uint8), np.diff(low[i:j], prepend=np.uint32(0)), own[i:j], pos[i:j], n[own[i:j]], steps))
             held.clear()
-            return _rows(names, bucket=pa.array(buckets, pa.int32()), blob=pa.array(blobs, pa.binary()))
+            return _rows(names, rid=pa.array(np.full(len(buckets), rid[0])), bucket=pa.array(buckets, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
         for b in batches:
             n, h1, h2, more = [], [], [], []
@@ -263,8 +264,8 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     texts = base.select("rid", "text")
     rank, total = frequencies(base.select("text"), k)
     bits = max(0, int(np.ceil(np.log2(max(1, total * (den - num) / den / RANGE)))))
-    made = scratch.cut(signatures(base, k, num, den, rank, bits))
-    rows = made.where("rid is not null").select("rid", "doc_id", "h1", "h2", "n", "more")
+    made = scratch.dealt(signatures(base, k, num, den, rank, bits), "rid", move=False)
+    rows = made.where("bucket is null").select("rid", "doc_id", "h1", "h2", "n", "more")
     shared = scratch.cut(shared_tokens(made.where("bucket is not null").select("bucket", "blob"), bits))
     scratch.release()
     fit = f"{num} * (n1 + n2) <= {num + den} * least(n1 - pos1, n2 - pos2) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
