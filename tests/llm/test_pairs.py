@@ -175,6 +175,38 @@ def test_passages_of_a_third_of_all_texts(spark):
     assert [i for i in range(90) if p in out[i]] == [0] and all(len(words(out[i])) in range(74, 81) for i in range(1, 90))
 
 
+def test_a_frequent_passage_stays_with_the_smallest_id_only(spark):
+    p = prose(8000, 60)
+    rows = [(i, prose(8100 + i, 40) + " " + p + " " + prose(8200 + i, 40)) for i in (7, 19, 3, 11, 2, 18, 5, 9, 14, 1, 16, 12, 4)]
+    out = {r.doc_id: r.text for r in passages.drop_passages(table(spark, rows)).collect()}
+    assert [i for i in sorted(out) if p in out[i]] == [1]
+    assert {r.doc_id for r in passages.find(table(spark, rows)).collect()} == {i for i, _ in rows} - {1}
+
+
+def test_a_whole_passage_all_of_whose_seeds_are_frequent(spark):
+    """Of a passage of 70 words that two texts hold, each part of 35 words has twelve other holders, before and after."""
+    p = prose(8300, 70).split(" ")
+    part = [" ".join(p[i : i + 35]) for i in (0, 18, 35)]
+    rows = [(i, prose(8400 + i, 40) + " " + part[i % 3] + " " + prose(8500 + i, 40)) for i in (*range(18), *range(60, 78))]
+    rows += [(i, prose(8400 + i, 50) + " " + " ".join(p) + " " + prose(8500 + i, 20)) for i in (50, 51)]
+    got = passages.find(table(spark, sorted(rows))).collect()
+    assert [(r.other_id, r.doc_id, r.start, r.end) for r in got if r.n_words >= 70] == [(50, 51, 50, 120)]
+
+
+def test_words_that_go_round(spark):
+    for words_, n in (("ring", 60), ("here we", 35)):
+        p = " ".join([words_] * n)
+        rows = [(i, prose(8600 + i, 45) + " " + p + " " + prose(8700 + i, 45)) for i in (4, 9)]
+        got = passages.find(table(spark, rows)).collect()
+        assert [(r.other_id, r.doc_id, r.start, r.end) for r in got] == [(4, 9, 45, 45 + len(words(p)))]
+
+
+def test_a_passage_is_not_lost_for_what_lies_beside_it():
+    p, q = np.arange(1000, 1052), np.arange(2000, 2020)
+    a, b = (np.concatenate([s + np.arange(30), p, s + 100 + np.arange(38), q, s + 200 + np.arange(30)]).astype("<u4") for s in (10_000, 20_000))
+    assert (30, 82, 30, 82, 52) in passages.meet(passages.Text(a.tobytes()), passages.Text(b.tobytes()), 50)
+
+
 @pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.2])
 def test_recall_against_all_pairs(spark, share):
     """Passages of 50 to 120 words in which a share of the words, at random places, is changed."""
