@@ -83,12 +83,12 @@ def meet(a: bytes, b: bytes) -> bool:
 
 
 def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, bits: int) -> DataFrame:
-    """Of (rid, doc_id, text): rows (rid, doc_id, h1, h2 (of the whole set), n, more (see further())) and, among them, rows
+    """Of (rid, doc_id, text): rows (rid, doc_id, h1, h2 (of the whole set), n, leads) and, among them, rows
     (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges of tokens. Sets that a task has met
-    before have neither tokens nor more. Of the texts of one group that share a token only one goes to the token's range,
+    before have no tokens and don't lead. Of the texts of one group that share a token only one goes to the token's range,
     so a hot token is as many entries there as groups; all of them go along told, with any range."""
     spread = texts.sparkSession.sparkContext.broadcast(rank)
-    names = ["rid", "doc_id", "h1", "h2", "n", "more", "bucket", "blob"]
+    names = ["rid", "doc_id", "h1", "h2", "n", "leads", "bucket", "blob"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,36 +127,36 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, b
             return _rows(names, bucket=pa.array(buckets, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
         for b in batches:
-            n, h1, h2, more = [], [], [], []
+            n, h1, h2, leads = [], [], [], []
             for rid, s in zip(b.column(0).to_pylist(), shingles(b.column(2), k), strict=True):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d = np.frombuffer(digest, "<i8")
                 n.append(len(s))
                 h1.append(int(d[0]))
                 h2.append(int(d[1]))
-                more.append(None)
+                leads.append(False)
                 if len(s) and digest not in met:
                     if len(met) >= COPIES:
                         met.clear()
                     met.add(digest)
                     p = prefix_size(len(s), num, den)
-                    more[-1] = further(s, p).tobytes()
+                    leads[-1] = True
                     held.append((rid, len(s), s[np.argsort(order[_buckets(s)], kind="stable")[:p]]))
                     size += p
-            yield _rows(names, rid=b.column(0), doc_id=b.column(1), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), n=pa.array(n, pa.int64()), more=pa.array(more, pa.binary()))
+            yield _rows(names, rid=b.column(0), doc_id=b.column(1), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), n=pa.array(n, pa.int64()), leads=pa.array(leads, pa.bool_()))
             if size >= GROUP:
                 yield deal()
                 size = 0
         if held:
             yield deal()
 
-    return texts.mapInArrow(sign, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, more binary, bucket int, blob binary")
+    return texts.mapInArrow(sign, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, leads boolean, bucket int, blob binary")
 
 
 def _rows(names: list[str], **cols: pa.Array) -> pa.RecordBatch:
     """A batch with these columns, and nulls in the others of signatures()."""
     size = len(next(iter(cols.values())))
-    kinds = {"more": pa.binary(), "blob": pa.binary(), "bucket": pa.int32()}
+    kinds = {"leads": pa.bool_(), "blob": pa.binary(), "bucket": pa.int32()}
     return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, kinds.get(c, pa.int64())) for c in names], names=names)
 
 
@@ -192,39 +192,29 @@ def shared_tokens(dealt: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(gather, "token bigint, node bigint, n bigint, pos bigint, first bigint")
 
 
-def verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rids, a written table, that are similar enough. First they must share prefix tokens in the further orders too,
-    by what rows hold of these; only then texts are read."""
+def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rids, a written table, that are similar enough. Before whole sets are compared they must share
+    prefix tokens in the further orders too. texts (rid, text) that are dealt by rid stay where they are: a pair is moved
+    to the one text, and with this one to the other, whatever the number of pairs."""
 
-    def cross(x: pa.Array, y: pa.Array) -> list[bool]:
-        return [meet(u, v) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-
-    def check(x: pa.Array, y: pa.Array) -> list[bool]:
-        out = []
-        for u, v in zip(shingles(x, k), shingles(y, k), strict=True):
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(den * both >= num * (len(u) + len(v) - both))
-        return out
-
-    def passing(pairs: DataFrame, table: DataFrame, fn) -> DataFrame:
-        """Pairs that pass a test of what a table (rid, x) has of both; only the rows that pairs need are dealt to them."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = pa.array(fn(b.column(2), b.column(3)), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-        need = scratch.cut(table.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi"))
-        one, two = (need.withColumnsRenamed({"rid": c, "x": f"x{c}"}) for c in ("a", "b"))
-        out = scratch.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint"))
-        scratch.drop(need)
-        scratch.release()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for u, v in zip(shingles(b.column(2), k), shingles(b.column(3), k), strict=True):
+                if meet(*(further(s, prefix_size(len(s), num, den)) for s in (u, v))):
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    ok.append(den * both >= num * (len(u) + len(v) - both))
+                else:
+                    ok.append(False)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     if pairs.isEmpty():
         return pairs
-    near = passing(pairs, rows.where("more is not null").select("rid", F.col("more").alias("x")), cross)
-    return passing(near, texts.withColumnRenamed("text", "x"), check)
+    one, two = (texts.withColumnsRenamed({"rid": c, "text": f"x{c}"}).hint("merge") for c in ("a", "b"))
+    out = scratch.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint"))
+    scratch.release()
+    return out
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +224,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     Rows with one set are one node. A link needs a common token among the first ones of both sets in each of three
     orders: rarity (by a table of bucket counts over all rows), and two random ones. The first order makes candidates:
     nodes meet by prefix token, and a token counts only where the sizes and its places in both sets still allow enough
-    overlap. Candidates must share prefix tokens in the other orders too before any text is read; then whole sets
+    overlap. Candidates must share prefix tokens in the other orders too before whole sets
     are compared (64-bit hashes of shingles, equal shingles equal). First each node is checked with one partner of its
     tokens, the one it shares most with, then in a few rounds with one more if both are still in different components;
     then all pairs of different components that are left are made. So groups of near copies are not expanded: the
@@ -264,21 +254,21 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     rank, total = frequencies(base.select("text"), k)
     bits = max(0, int(np.ceil(np.log2(max(1, total * (den - num) / den / RANGE)))))
     made = scratch.cut(signatures(base, k, num, den, rank, bits))
-    rows = made.where("rid is not null").select("rid", "doc_id", "h1", "h2", "n", "more")
+    rows = made.where("rid is not null").select("rid", "doc_id", "h1", "h2", "n", "leads")
     shared = scratch.cut(shared_tokens(made.where("bucket is not null").select("bucket", "blob"), bits))
     scratch.release()
     fit = f"{num} * (n1 + n2) <= {num + den} * least(n1 - pos1, n2 - pos2) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
 
     # copies of one set in several tasks are one node: the pairs of their rows are links that need no proof
-    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("more").isNotNull(), F.col("rid"))).alias("node"))
-    held = rows.where("more is not null").select("rid", "h1", "h2").join(nodes, ["h1", "h2"]).select("rid", "node")
+    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("leads"), F.col("rid"))).alias("node"))
+    held = rows.where("leads").select("rid", "h1", "h2").join(nodes, ["h1", "h2"]).select("rid", "node")
     copies = scratch.cut(held.where("rid != node").select(F.col("rid").alias("a"), F.col("node").alias("b")))
 
     # one partner each
     partner = shared.where("node != first").groupBy("node", "first").count()
     partner = partner.groupBy("node").agg(F.max(F.struct(F.col("count"), -F.col("first"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.col2")).alias("b"))
     partner = scratch.cut(partner)
-    good = verified(scratch, partner, rows, texts, k, num, den).unionByName(copies)
+    good = verified(scratch, partner, texts, k, num, den).unionByName(copies)
     comp = scratch.cut(connected_components(scratch, good))
     scratch.release()
 
@@ -311,7 +301,7 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
         met = apart.join(head, "token").where("c != hc").groupBy("node", "head").count().select(F.col("node").alias("a"), F.col("head").alias("b"), "count")
         met = met.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("m"))
         met = scratch.cut(met.select("a", (-F.col("m.col2")).alias("b")))
-        more = verified(scratch, met, rows, texts, k, num, den)
+        more = verified(scratch, met, texts, k, num, den)
         tried = tried.unionByName(both_ways(met))
         if more.isEmpty():
             break
@@ -322,7 +312,7 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     # then all pairs of what is still apart
     one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
     pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    more = verified(scratch, scratch.cut(pairs.join(tried, ["a", "b"], "left_anti")), rows, texts, k, num, den)
+    more = verified(scratch, scratch.cut(pairs.join(tried, ["a", "b"], "left_anti")), texts, k, num, den)
     scratch.drop(apart)
     comp = components(comp, more) if not more.isEmpty() else comp
 

@@ -102,6 +102,19 @@ def test_prefix_filter_loses_nothing():
     assert not jaccard.meet(*[jaccard.further(v, 11).tobytes() for v in apart])
 
 
+def test_pairs_move_one_text_to_the_other(spark, monkeypatch):
+    texts = [prose(9000, 80), prose(9000, 80) + " end", prose(9001, 80)]
+    scratch, written = Scratch(spark, "moved"), []
+    dealt = scratch.dealt(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "rid")
+    pairs = scratch.cut(spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long"))
+    cut = scratch.cut
+    monkeypatch.setattr(scratch, "cut", lambda df: (written.append(df), cut(df))[1])
+    got = jaccard.verified(scratch, pairs, dealt, 5, 75, 100)
+    assert [tuple(r) for r in got.collect()] == [(0, 1)]
+    plans = "".join(df._jdf.queryExecution().executedPlan().toString() for df in written)
+    assert plans.count("Exchange hashpartitioning") == 2  # the pairs, and the pairs with one text
+
+
 def test_passages(spark):
     rows = documents()
     got = passages.find(table(spark, rows)).collect()
