@@ -21,10 +21,13 @@ BLOCKS = 16
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Prefix tokens that are sorted together before they are dealt, and that a range of tokens has on average.
 GROUP, RANGE = 1_000_000, 500_000
-#: Sets that a task remembers to deal copies' tokens once.
-COPIES = 500_000
-#: Rounds in which texts that are still apart are checked with one text of those that hold their tokens.
-ROUNDS = 2
+#: Random orders by whose first tokens texts meet before all prefix tokens are dealt.
+KEYS = tuple(pow(f, e, 1 << 64) for e in (3, 5) for f in ORDERS)
+#: Values of a sketch, those that have to agree, texts of one key that the others are held against, and texts that are
+#: looked at together for that.
+BINS, AGREE, HEADS, TOGETHER = 128, 80, 8, 50_000
+#: Pairs that a task holds before it gives them out.
+PAIRS = 1_000_000
 
 
 def shingles(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -82,114 +85,174 @@ def meet(a: bytes, b: bytes) -> bool:
     return all(np.isin(p, q).any() for p, q in zip(x, y, strict=True))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Four bits each of the first token at or after each of BINS places: of two sets about as many agree as are shared."""
+    at = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS))
+    v = (s[at % len(s)] & np.uint64(15)).astype(np.uint8)
+    return (v[::2] << 4 | v[1::2]).tobytes()
+
+
+def described(base: DataFrame, k: int) -> DataFrame:
+    """Of (rid, doc_id, text): (rid, doc_id, h1, h2 (of the whole set), n, its first token by each of KEYS, its sketch)."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            n, hashes, keys, low = [], [], [], []
+            for s in shingles(b.column(2), k):
+                n.append(len(s))
+                hashes.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
+                keys.append([i << 32 | int((s * np.uint64(f)).min()) >> 32 for i, f in enumerate(KEYS)] if len(s) else [0] * len(KEYS))
+                low.append(sketch(s) if len(s) else b"")
+            h = np.array(hashes, np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(KEYS)), pa.array(np.array(keys, np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64()), lists, pa.array(low, pa.binary())], names=["rid", "doc_id", "h1", "h2", "n", "keys", "low"])
+
+    return base.mapInArrow(describe, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, low binary")
+
+
+def likely(nodes: DataFrame) -> DataFrame:
+    """Of (node, keys, low): pairs (a, b) that share a key and agree in AGREE values of their sketches. Not all similar
+    pairs: the texts of a key are held against a few of them, so that groups of near copies cost as much as they have
+    texts. What they leave apart is for the prefix tokens to find."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            pairs = []
+            for key, node, low in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != last or len(held) >= TOGETHER:
+                    pairs += around(held)
+                    held = held[:1] if key == last else []  # what is looked at next has one of these
+                    last = key
+                held.append((node, low))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else [[], []])], names=["a", "b"])
+        pairs = around(held)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "low")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(hold, "a bigint, b bigint").distinct()
+
+
+def around(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+    """Of texts (node, sketch's bytes): pairs of a text and one of those in the middle of them. In the middle is the one
+    that has most of the values most of them have: of near copies likely the one that they come from. Then the same of the
+    texts that are not like it, HEADS times at most."""
+    out = []
+    if len(held) < 2:
+        return out
+    node = np.array([x[0] for x in held], np.int64)
+    m = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1)
+    m = np.concatenate([m >> 4, m & 15], 1)
+    for _ in range(HEADS):
+        if len(node) < 2:
+            break
+        head = 0
+        if len(node) > 2:
+            usual = np.array([np.bincount(c).argmax() for c in m.T])
+            head = int((m == usual).sum(1).argmax())
+        like = (m == m[head]).sum(1) >= AGREE
+        out += [(min(x, y), max(x, y)) for x in [int(node[head])] for y in node[like].tolist() if x != y]
+        node, m = node[~like], m[~like]
+    return out
+
+
 def signatures(texts: DataFrame, k: int, num: int, den: int, rank: np.ndarray, bits: int) -> DataFrame:
-    """Of (rid, doc_id, text): rows (rid, doc_id, h1, h2 (of the whole set), n, leads) and, among them, rows
-    (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges of tokens. Sets that a task has met
-    before have no tokens and don't lead. Of the texts of one group that share a token only one goes to the token's range,
-    so a hot token is as many entries there as groups; all of them go along told, with any range."""
+    """Of (node, component, text): rows (bucket, blob) of prefix tokens in the order of rarity, dealt to 2 ** bits ranges
+    of tokens."""
     spread = texts.sparkSession.sparkContext.broadcast(rank)
-    names = ["rid", "doc_id", "h1", "h2", "n", "leads", "bucket", "blob"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        order, met = spread.value, set()
-        held: list[tuple[int, int, np.ndarray]] = []
+        order = spread.value
+        held: list[tuple[int, int, int, np.ndarray]] = []
         size = 0
 
         def deal() -> pa.RecordBatch:
-            rid = np.array([r for r, _, _ in held], np.int64)
-            n = np.array([n for _, n, _ in held], np.uint32)
-            own = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for _, _, t in held])
-            pos = np.concatenate([np.arange(len(t), dtype=np.uint32) for _, _, t in held])
-            token = np.concatenate([t for _, _, t in held])
+            held.sort(key=lambda x: x[0])
+            node, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            own = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[3]) for x in held])
+            pos = np.concatenate([np.arange(len(x[3]), dtype=np.uint32) for x in held])
+            token = np.concatenate([x[3] for x in held])
             at = np.argsort(token)
-            token, own, pos = token[at], own[at], pos[at]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            often = np.diff(np.concatenate([first, [len(token)]]))
-            told = np.repeat(often > 1, often)
-            leader = np.repeat(rid[own[first]], often)
-            steps = np.diff(rid, prepend=np.int64(0))
-            buckets, blobs = [], []
-            token >>= np.uint64(32 - bits)
-            if told.any():
-                t = np.flatnonzero(told)
-                buckets.append(int(token[t[0]] & np.uint64((1 << bits) - 1)))
-                blobs.append(packed(np.ones(1, np.uint8), token[t], rid[own[t]], n[own[t]], pos[t], leader[t]))
-            token, own, pos = token[first], own[first], pos[first]
+            token, own, pos = token[at] >> np.uint64(32 - bits), own[at], pos[at]
             which = (token >> np.uint64(32)).astype(np.int64)
             edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
             low = token.astype(np.uint32)
+            buckets, blobs = [], []
             for i, j in zip(edges, edges[1:], strict=False):
+                here, mine = np.unique(own[i:j], return_inverse=True)
                 buckets.append(int(which[i]))
-                blobs.append(packed(np.zeros(1, np.uint8), np.diff(low[i:j], prepend=np.uint32(0)), own[i:j], pos[i:j], n[own[i:j]], steps))
+                blobs.append(packed(np.diff(low[i:j], prepend=np.uint32(0)), mine.astype(np.uint32), pos[i:j], np.diff(node[here], prepend=np.int64(0)), node[here] - comp[here], n[here].astype(np.uint32)))
             held.clear()
-            return _rows(names, bucket=pa.array(buckets, pa.int32()), blob=pa.array(blobs, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
-            n, h1, h2, leads = [], [], [], []
-            for rid, s in zip(b.column(0).to_pylist(), shingles(b.column(2), k), strict=True):
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                d = np.frombuffer(digest, "<i8")
-                n.append(len(s))
-                h1.append(int(d[0]))
-                h2.append(int(d[1]))
-                leads.append(False)
-                if len(s) and digest not in met:
-                    if len(met) >= COPIES:
-                        met.clear()
-                    met.add(digest)
-                    p = prefix_size(len(s), num, den)
-                    leads[-1] = True
-                    held.append((rid, len(s), s[np.argsort(order[_buckets(s)], kind="stable")[:p]]))
-                    size += p
-            yield _rows(names, rid=b.column(0), doc_id=b.column(1), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), n=pa.array(n, pa.int64()), leads=pa.array(leads, pa.bool_()))
-            if size >= GROUP:
-                yield deal()
-                size = 0
+            for node, comp, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingles(b.column(2), k), strict=True):
+                p = prefix_size(len(s), num, den)
+                held.append((node, comp, len(s), s[np.argsort(order[_buckets(s)], kind="stable")[:p]]))
+                size += p
+                if size >= GROUP:
+                    yield deal()
+                    size = 0
         if held:
             yield deal()
 
-    return texts.mapInArrow(sign, "rid bigint, doc_id bigint, h1 bigint, h2 bigint, n bigint, leads boolean, bucket int, blob binary")
-
-
-def _rows(names: list[str], **cols: pa.Array) -> pa.RecordBatch:
-    """A batch with these columns, and nulls in the others of signatures()."""
-    size = len(next(iter(cols.values())))
-    kinds = {"leads": pa.bool_(), "blob": pa.binary(), "bucket": pa.int32()}
-    return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, kinds.get(c, pa.int64())) for c in names], names=names)
+    return texts.select("node", "component", "text").mapInArrow(sign, "bucket int, blob binary")
 
 
-def shared_tokens(dealt: DataFrame, bits: int) -> DataFrame:
-    """Of (bucket, blob): a row (token, node, n, pos, first) for each text that holds a token that others hold too; first
-    is one of these texts, the same for those of a group, or else for all. token: the first 32 + bits bits."""
+def candidates(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (bucket, blob): (a, b, ca, cb, n) for texts of different components that share n tokens of a range whose places
+    in both sets, and the sets' sizes, leave room for enough overlap. The texts of one token are held against each other
+    in order of size, so none against one that is too large."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(*cols: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names=["token", "node", "n", "pos", "first"])
-
-        for bucket, blobs in by_key(batches):
-            parts = []
+        for _, blobs in by_key(batches):
+            parts, base = [], 0
             for blob in blobs:
-                kind, *x = unpacked(blob)
-                if kind[0]:
-                    yield out(*x)
-                else:
-                    low, own, pos, n, steps = x
-                    parts.append((np.cumsum(low, dtype=np.uint32), np.cumsum(steps.view(np.int64))[own], n, pos))
-            if not parts:
-                continue
-            low, node, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-            at = np.lexsort((node, low))
-            low, node, n, pos = low[at], node[at], n[at], pos[at]
+                low, own, pos, steps, comp, n = unpacked(blob)
+                node = np.cumsum(steps.view(np.int64))
+                parts.append((np.cumsum(low, dtype=np.uint32), own.astype(np.int64) + base, pos, node, node - comp.view(np.int64), n))
+                base += len(n)
+            low, own, pos, node, comp, n = (np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True))
+            del parts
+            at = np.argsort(low, kind="stable")
+            low, own, pos = low[at], own[at], pos[at]
             first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             often = np.diff(np.concatenate([first, [len(low)]]))
-            many = np.repeat(often > 1, often)
-            token = (bucket << 32) | low.astype(np.int64)
-            yield out(token[many], node[many], n[many], pos[many], np.repeat(node[first], often)[many])
+            c = comp[own]
+            some = np.repeat(np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first), often)
+            low, own, pos = low[some], own[some], pos[some]
+            at = np.lexsort((n[own], low))
+            low, own, pos = low[at], own[at], pos[at]
+            size, c = n[own], comp[own]
+            room = size - pos
+            i, d, found, count = np.arange(len(low)), 1, [], 0
+            while len(i):
+                i = i[i + d < len(low)]
+                j = i + d
+                near = (low[i] == low[j]) & (num * size[j] <= den * size[i])
+                i, j = i[near], j[near]
+                fits = (c[i] != c[j]) & (num * (size[i] + size[j]) <= (num + den) * np.minimum(room[i], room[j]))
+                found.append((own[i[fits]], own[j[fits]]))
+                count += int(fits.sum())
+                d += 1
+                if count >= PAIRS:
+                    yield out(node, comp, found)
+                    found, count = [], 0
+            if count:
+                yield out(node, comp, found)
+
+    def out(node: np.ndarray, comp: np.ndarray, found: list) -> pa.RecordBatch:
+        x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+        keys, often = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_counts=True)
+        x, y = keys >> 32, keys & 0xFFFFFFFF
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], node[y], comp[x], comp[y], often.astype(np.int64))], names=["a", "b", "ca", "cb", "n"])
 
     rows = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(gather, "token bigint, node bigint, n bigint, pos bigint, first bigint")
+    return rows.mapInArrow(gather, "a bigint, b bigint, ca bigint, cb bigint, n bigint")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -221,14 +284,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str
     """doc_id, n_shingles and component_id for every row of docs. Two rows link when num / den or more of the union of
     their sets of k-word shingles is shared; component_id is the smallest doc_id reachable by links.
 
-    Rows with one set are one node. A link needs a common token among the first ones of both sets in each of three
-    orders: rarity (by a table of bucket counts over all rows), and two random ones. The first order makes candidates:
-    nodes meet by prefix token, and a token counts only where the sizes and its places in both sets still allow enough
-    overlap. Candidates must share prefix tokens in the other orders too before whole sets
-    are compared (64-bit hashes of shingles, equal shingles equal). First each node is checked with one partner of its
-    tokens, the one it shares most with, then in a few rounds with one more if both are still in different components;
-    then all pairs of different components that are left are made. So groups of near copies are not expanded: the
-    operator gives components, not all links inside them.
+    Rows with one set are one node. Nodes whose first tokens in random orders agree are compared first, so that groups of
+    near copies are mostly one component before prefix tokens are dealt. Then a link between two components needs a common
+    token among the first ones of both sets in each of three orders: rarity (by a table of bucket counts over all rows),
+    and two random ones. The first order makes candidates of all nodes: nodes of different components that meet by prefix
+    token, and a token counts only where the sizes and its places in both sets still allow enough overlap. Candidates must
+    share prefix tokens in the other orders too before whole sets are compared (64-bit hashes of shingles, equal shingles
+    equal). Of the candidates of two components the one that shares most is compared first, the others only if these two
+    are still apart. So groups of near copies are not expanded: the operator gives components, not all links inside them.
 
     No word, empty or null text: no shingle, no links, component_id is the row's own id. A null id is kept and can't
     name a component. Rows are told apart by a number of their own, so rows of one id or without any are compared as
@@ -253,75 +316,40 @@ def numbered(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col:
     texts = base.select("rid", "text")
     rank, total = frequencies(base.select("text"), k)
     bits = max(0, int(np.ceil(np.log2(max(1, total * (den - num) / den / RANGE)))))
-    made = scratch.cut(signatures(base, k, num, den, rank, bits))
-    rows = made.where("rid is not null").select("rid", "doc_id", "h1", "h2", "n", "leads")
-    shared = scratch.cut(shared_tokens(made.where("bucket is not null").select("bucket", "blob"), bits))
-    scratch.release()
-    fit = f"{num} * (n1 + n2) <= {num + den} * least(n1 - pos1, n2 - pos2) and {num} * greatest(n1, n2) <= {den} * least(n1, n2)"
-
-    # copies of one set in several tasks are one node: the pairs of their rows are links that need no proof
-    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.when(F.col("leads"), F.col("rid"))).alias("node"))
-    held = rows.where("leads").select("rid", "h1", "h2").join(nodes, ["h1", "h2"]).select("rid", "node")
-    copies = scratch.cut(held.where("rid != node").select(F.col("rid").alias("a"), F.col("node").alias("b")))
-
-    # one partner each
-    partner = shared.where("node != first").groupBy("node", "first").count()
-    partner = partner.groupBy("node").agg(F.max(F.struct(F.col("count"), -F.col("first"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.col2")).alias("b"))
-    partner = scratch.cut(partner)
-    good = verified(scratch, partner, texts, k, num, den).unionByName(copies)
-    comp = scratch.cut(connected_components(scratch, good))
+    rows = scratch.cut(described(base, k))
+
+    # rows of one set are one node; nodes that are likely to be similar are compared first
+    nodes = scratch.cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("rid", "keys", "low")).alias("m")).select("h1", "h2", F.col("m.rid").alias("node"), "m.keys", "m.low"))
+    good = verified(scratch, scratch.cut(likely(nodes)), texts, k, num, den)
+    comp = connected_components(scratch, good)
+    known = scratch.cut(nodes.select("h1", "h2", "node").join(comp, "node", "left").select("h1", "h2", "node", F.coalesce("component", "node").alias("component")))
+    scratch.drop(nodes)
     scratch.release()
 
-    # then with one text of all that hold its tokens and are still apart, another one each round
-    def components(now: DataFrame, edges: DataFrame) -> DataFrame:
-        """(node, component) after further edges between nodes, which connect components."""
-        ends = [now.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-        bridges = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        over = connected_components(scratch, bridges).select(F.col("node").alias("c"), F.col("component").alias("over"))
-        known = now.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node"), F.lit(None).cast("bigint").alias("component"))).groupBy("node").agg(F.max("component").alias("component"))
-        known = known.select("node", F.coalesce("component", "node").alias("c")).join(over, "c", "left")
-        return scratch.cut(known.select("node", F.coalesce("over", "c").alias("component")))
-
-    def still_apart(tokens: DataFrame) -> DataFrame:
-        """The rows of tokens that texts of several components hold, with each text's component."""
-        found = tokens.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-        ends = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("holders")).where("lo != hi").select("token", "holders")
-        return scratch.cut(found.join(ends, "token"))
-
-    def both_ways(pairs: DataFrame) -> DataFrame:
-        return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    tried = both_ways(partner)
-    apart = still_apart(shared)
-    scratch.drop(shared)
-    for _ in range(ROUNDS):
-        # the text whose tokens have most holders: of near copies it is likely the one that they come from
-        known = apart.groupBy("node").agg((-F.sum("holders")).alias("by"))
-        head = apart.join(known, "node").groupBy("token").agg(F.min(F.struct("by", "node", "c")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.c").alias("hc"))
-        met = apart.join(head, "token").where("c != hc").groupBy("node", "head").count().select(F.col("node").alias("a"), F.col("head").alias("b"), "count")
-        met = met.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("m"))
-        met = scratch.cut(met.select("a", (-F.col("m.col2")).alias("b")))
-        more = verified(scratch, met, texts, k, num, den)
-        tried = tried.unionByName(both_ways(met))
-        if more.isEmpty():
-            break
-        comp = components(comp, more)
-        apart = still_apart(apart.drop("c", "holders"))
-        if apart.isEmpty():
-            break
-    # then all pairs of what is still apart
-    one, two = (apart.select("token", *[F.col(x).alias(f"{x}{i}") for x in ("node", "n", "pos", "c")]) for i in (1, 2))
-    pairs = one.join(two, "token").where("c1 < c2").where(fit).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    more = verified(scratch, scratch.cut(pairs.join(tried, ["a", "b"], "left_anti")), texts, k, num, den)
-    scratch.drop(apart)
-    comp = components(comp, more) if not more.isEmpty() else comp
+    # then all nodes of different components that the prefix tokens leave
+    own = texts.withColumnRenamed("rid", "node").join(known.select("node", "component").hint("merge"), "node")
+    pairs = candidates(signatures(own, k, num, den, rank, bits), num, den).groupBy("a", "b", "ca", "cb").agg(F.sum("n").alias("n"))
+    pairs = scratch.cut(pairs)
+    scratch.release()
+    sides = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
+    head = scratch.cut(pairs.groupBy(*sides).agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b", "c1", "c2"))
+    met = verified(scratch, head.select("a", "b"), texts, k, num, den)
+    over = scratch.cut(connected_components(scratch, met.join(head, ["a", "b"]).select(F.col("c1").alias("a"), F.col("c2").alias("b"))))
+    ends = [over.select(F.col("node").alias(c), F.col("component").alias(f"o{c}")) for c in ("ca", "cb")]
+    left = pairs.join(head.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "ca", "left").join(ends[1], "cb", "left")
+    left = scratch.cut(left.select("a", "b", F.coalesce("oca", "ca").alias("ca"), F.coalesce("ocb", "cb").alias("cb")).where("ca != cb"))
+    more = verified(scratch, left.select("a", "b"), texts, k, num, den)
+    last = connected_components(scratch, more.join(left, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    scratch.drop(pairs)
+    scratch.release()
 
     # rows to sets, sets to nodes, nodes to components
-    named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    named = known.join(over.select(F.col("node").alias("component"), F.col("component").alias("c1")), "component", "left").select("h1", "h2", F.coalesce("c1", "component").alias("c"))
+    named = named.join(last.select(F.col("node").alias("c"), F.col("component").alias("c2")), "c", "left").select("h1", "h2", F.coalesce("c2", "c").alias("component"))
     owned = scratch.cut(rows.where("n > 0").select("rid", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("rid", "doc_id", "n", "component"))
     least = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("component", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("least_row"))
     alone = scratch.cut(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("row"), F.col("rid").alias("component_row")))
-    scratch.drop(made)
+    scratch.drop(rows)
     scratch.release()
     out = owned.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("rid").alias("row"), F.col("least_row").alias("component_row"))
     return out.unionByName(alone)

@@ -115,6 +115,38 @@ def test_pairs_move_one_text_to_the_other(spark, monkeypatch):
     assert plans.count("Exchange hashpartitioning") == 2  # the pairs, and the pairs with one text
 
 
+def test_near_copies_meet_the_text_that_they_come_from():
+    """Whatever their order: then prefix tokens need not bring all pairs of them together."""
+    rng = random.Random(9100)
+    texts = [prose(9100, 150)]
+    for i in range(200):
+        w = texts[0].split(" ")
+        for j in rng.sample(range(150), rng.randint(1, 3)):
+            w[j] = f"changed{i}"
+        texts.append(" ".join(w))
+    sets = jaccard.shingles(pa.array(texts), 5)
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(sets)).tolist()
+        pairs = jaccard.around([(i, jaccard.sketch(sets[i])) for i in order])
+        with_base = {i for p in pairs for i in p if 0 in p}
+        assert len(with_base) > 150 and len(pairs) <= len(sets)
+
+
+def test_candidates_are_of_different_components(spark):
+    base = prose(9300, 60)
+    rows = [(i, i % 2 * 100, edited(base, 9400 + i, 50)) for i in range(40)] + [(50, 50, prose(9301, 60))]
+    rank, _ = jaccard.frequencies(spark.createDataFrame([(t,) for *_, t in rows], "text string"), 5)
+    sets = jaccard.shingles(pa.array([t for *_, t in rows]), 5)
+    for bits in (0, 3):
+        dealt = jaccard.signatures(spark.createDataFrame(rows, "node long, component long, text string"), 5, 75, 100, rank, bits)
+        got = {(r.a, r.b) for r in jaccard.candidates(dealt, 75, 100).collect() if (r.ca, r.cb) == (r.a % 2 * 100, r.b % 2 * 100)}
+        assert got and all(a < b < 50 and (a + b) % 2 for a, b in got)
+        for i in range(40):
+            for j in range(i + 1, 40, 2):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert 100 * both < 75 * (len(sets[i]) + len(sets[j]) - both) or (i, j) in got
+
+
 def test_passages(spark):
     rows = documents()
     got = passages.find(table(spark, rows)).collect()
