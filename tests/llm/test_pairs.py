@@ -291,6 +291,20 @@ def test_passages_are_dropped_by_row(spark):
     raise AssertionError([(i, t[:40], len(words(t))) for i, t in got])
 
 
+def test_texts_are_cut_where_they_are(spark):
+    p = prose(9500, 70)
+    docs = table(spark, [(i, prose(9510 + i, 60) + " " + p) for i in range(3)])
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = passages.drop_passages(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(len(words(r.text)) for r in out.collect()) == [60, 60, 130]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange hashpartitioning") == 2  # the passages of a row, for the rows that have some and for the others
+
+
 def test_chains_maximise():
     blocks = np.array([[0, 0, 20], [25, 25, 20], [30, 500, 9], [60, 58, 20], [10, 900, 6]])
     assert passages.chains(blocks)[0] == [0, 1, 3]
